@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, packing
 
 QUERIES = {
+    "op6_packing": packing.query,
     "op8_mixing": mixing.query,
 }
 
