@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import media, mixing, packing
 
 QUERIES = {
+    "op5_media": media.query,
     "op6_packing": packing.query,
     "op8_mixing": mixing.query,
 }
