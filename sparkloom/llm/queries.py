@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing
+from . import media, mixing, packing, toxicity
 
 QUERIES = {
+    "op4_toxicity": toxicity.query,
     "op5_media": media.query,
     "op6_packing": packing.query,
     "op8_mixing": mixing.query,
