@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, toxicity
+from . import fingerprints, media, mixing, packing, toxicity
 
 QUERIES = {
+    "op3_fingerprints": fingerprints.query,
     "op4_toxicity": toxicity.query,
     "op5_media": media.query,
     "op6_packing": packing.query,
     "op8_mixing": mixing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_fingerprints": fingerprints.ORACLE_SQL,
+}
