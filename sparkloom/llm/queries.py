@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprints, media, mixing, packing, toxicity
+from . import fingerprints, media, mixing, packing, pii, toxicity
 
 QUERIES = {
+    "op2_pii": pii.query,
     "op3_fingerprints": fingerprints.query,
     "op4_toxicity": toxicity.query,
     "op5_media": media.query,
