@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprints, media, mixing, packing, pii, toxicity
+from . import fingerprints, line_dedup, media, mixing, packing, pii, toxicity
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
     "op2_pii": pii.query,
     "op3_fingerprints": fingerprints.query,
     "op4_toxicity": toxicity.query,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op3_fingerprints": fingerprints.ORACLE_SQL,
 }
