@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, line_dedup, media, mixing, packing, pii, toxicity
+from . import fingerprints, line_dedup, media, mixing, near_dups, packing, pii, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_media": media.query,
     "op6_packing": packing.query,
     "op8_mixing": mixing.query,
+    "op10_near_dups": near_dups.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
