@@ -34,3 +34,15 @@ def whole_text(column: str = "text"):
 def few(df: DataFrame, rows: int, most: int = 20_000) -> DataFrame:
     """A broadcast hint for a table that was made of this many driver rows, where they are few."""
     return F.broadcast(df) if rows <= most else df
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to a folder that driver and executors share, and read again."""
+    import uuid
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
