@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, line_dedup, media, mixing, near_dups, packing, pii, toxicity
+from . import fingerprints, language, line_dedup, media, mixing, near_dups, packing, pii, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.query,
     "op5_media": media.query,
     "op6_packing": packing.query,
+    "op7_language": language.query,
     "op8_mixing": mixing.query,
     "op10_near_dups": near_dups.query,
 }
