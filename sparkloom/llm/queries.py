@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language, line_dedup, media, mixing, near_dups, packing, pii, toxicity
+from . import fingerprints, language, line_dedup, media, mixing, near_dups, packing, pii, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_packing": packing.query,
     "op7_language": language.query,
     "op8_mixing": mixing.query,
+    "op9_suffix_dedup": suffix_dedup.query,
     "op10_near_dups": near_dups.query,
 }
 
