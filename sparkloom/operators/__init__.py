@@ -1,0 +1 @@
+"""Relational shapes that Spark's SQL lacks, as functions on DataFrames."""

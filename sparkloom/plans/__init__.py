@@ -1,0 +1 @@
+"""Declared models, parameters, macros, graphs, loads, refresh runs, offline tests and table comparison."""

@@ -1,0 +1 @@
+"""Structured Streaming: windowed aggregation, sessions, deduplication, running state and watermark loads."""
