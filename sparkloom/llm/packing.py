@@ -31,39 +31,74 @@ WINDOW = 2048
 GRAIN = 32
 DEPTH = 3
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 LONGEST_CACHED = 48
 
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes. White space separates words for this tokenizer, so the ids of
-    a text are those of its words in turn, and a word's ids are kept once they are known."""
+    """Ids of whole texts as little-endian 32-bit bytes.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    White space separates words for this tokenizer, so the ids of a text are those of its words in turn, and a word's
+    ids are kept once they are known. A word of letters alone, perhaps with a comma or full stop after it, is looked up
+    by its lower-case letters; such stems are encoded many at a time by a tokenizer without normalisation, and told
+    apart by the tokens that end a word. Only letters up to U+024F (but U+0130) are stems: they are normalised already.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.plain.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.odd = re.compile("[^\x00-\u012f\u0131-\u024f]")
         self.known: dict[str, bytes] = {}
-        self.gaps = re.compile(r"[ \n\t\r]+")
+        self.stems: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn_stems(self, stems: list[str], group: int = 200) -> None:
+        groups = [stems[i : i + group] for i in range(0, len(stems), group)]
+        for words, e in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            if len(cuts) != len(words) + 1:
+                self.stems.update(zip(words, self._encode(words), strict=True))
+                continue
+            data = ids.tobytes()
+            self.stems.update(zip(words, (data[lo:hi] for lo, hi in itertools.pairwise(cuts)), strict=True))
+
+    def _learn(self, words: list[str]) -> None:
+        stems, plain, rest = self.stems, [], []
+        for w in words:
+            mark = w[-1:] if w[-1:] in (",", ".") else ""
+            stem = w[: len(w) - len(mark)]
+            if stem.isalpha() and (stem.isascii() or not self.odd.search(stem)):
+                plain.append((w, stem.lower(), mark))
+            else:
+                rest.append(w)
+        self._learn_stems(list({s for _, s, _ in plain if s not in stems} | {m for _, _, m in plain if m and m not in stems}))
+        self.known.update((w, stems[s] + stems[m] if m else stems[s]) for w, s, m in plain)
+        self.known.update(zip(rest, self._encode(rest), strict=True))
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [self.gaps.split(t) for t in texts]
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        distinct = set(itertools.chain.from_iterable(split))
-        fresh = [w for w in distinct if w not in known]
-        extra = dict(zip(fresh, self._encode(fresh), strict=True))
-        known.update(extra)
+        if len(self.stems) > CACHE_WORDS:
+            self.stems.clear()
+        fresh = [w for w in set(itertools.chain.from_iterable(split)) if w not in known]
+        self._learn(fresh)
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         for w in fresh:
             if len(w) > LONGEST_CACHED:
-                known.pop(w, None)
+                del known[w]
         return out
 
 
