@@ -20,7 +20,10 @@ def json_array_length(x: Column) -> Column:
 
 
 def json_valid(x: Column) -> Column:
-    return F.when(x.isNotNull(), F.try_parse_json(x).isNotNull())
+    """One value and nothing after it: inside brackets it must be a list of one."""
+    inside = F.concat(F.lit("["), x, F.lit("]"))
+    one = F.coalesce(F.json_array_length(inside), F.lit(0)) == 1
+    return F.when(x.isNotNull(), F.try_parse_json(inside).isNotNull() & one)
 
 
 def json_keys(x: Column) -> Column:

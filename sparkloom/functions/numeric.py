@@ -125,6 +125,16 @@ def lcm(a: Column, b: Column) -> Column:
     return F.when(g == 0, F.lit(0).cast("long")).otherwise(F.abs((a / F.when(g != 0, g)).cast("long") * b))
 
 
+def is_nan(x: Column) -> Column:
+    return F.when(x.isNotNull(), F.isnan(x))
+
+
+def bit_count(x: Column, width: int = 64) -> Column:
+    """Set bits of a two's complement of this width."""
+    x = x.cast("bigint")
+    return F.bit_count(x if width == 64 else x.bitwiseAND(F.lit((1 << width) - 1))).cast("bigint")
+
+
 def is_inf(x: Column) -> Column:
     return F.abs(x) == INF
 

@@ -155,5 +155,5 @@ def format_bytes(n: Column) -> Column:
     out = F.concat(n.cast("string"), F.when(n == 1, F.lit(" byte")).otherwise(F.lit(" bytes")))
     for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB"), 1):
         size = float(1024**power)
-        out = F.when(n >= size, F.concat(F.format_number(F.floor(n / size * 10) / 10, "0.0"), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= size, F.concat(F.format_string("%.1f", F.floor(n / size * 10) / 10), F.lit(f" {unit}"))).otherwise(out)
     return out

@@ -10,7 +10,7 @@ BROADCAST_BYTES = 64 << 20
 
 def small_side(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A broadcast hint only if the plan's own size estimate, which is an upper bound for scans, is small."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return F.broadcast(df) if size <= most_bytes else df
 
 

@@ -13,7 +13,8 @@ AGGREGATES = {"n": lambda: F.count(F.lit(1)), "total": lambda: F.sum(F.col("valu
 
 
 def _late(df: DataFrame, at: str, late: str) -> DataFrame:
-    return df.withWatermark(at, late) if df.isStreaming else df
+    """Watermarks need zoned timestamps; the session's zone is UTC."""
+    return df.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late) if df.isStreaming else df
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def sessions(df: DataFrame, at: str, gap: str, keys: list[str], aggregates: dict
 
 
 def deduplicated(df: DataFrame, at: str, keys: list[str], late: str = "1 hour") -> DataFrame:
-    return df.withWatermark(at, late).dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
+    return _late(df, at, late).dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
 
 
 def stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
