@@ -139,10 +139,10 @@ def fuse(pages: DataFrame, languages: Languages) -> DataFrame:
         logs = [F.log((F.col(f"c_{key}")[i] + ALPHA) / F.lit(float(everything[i] + ALPHA * (values + 1)))) for i in range(n)]
         return counts.select(key, F.array(*logs).alias(f"l_{key}"))
 
-    hosts, domains = _soft_counts(seen, ["host"], n, "c_host"), _soft_counts(seen, ["domain"], n, "c_domain")
+    hosts, domains = by_value("host"), by_value("domain")  # pages without an address are no host
     joined = seen.join(hosts, "host", "left").join(domains, "domain", "left").join(table("declared"), "declared", "left").join(table("suffix"), "suffix", "left")
     base = F.array(*[F.lit(float(p)) for p in prior])
-    less = lambda c: F.zip_with(c, "soft", lambda a, b: F.greatest(a - b, F.lit(0.0)))  # noqa: E731  without the page itself
+    less = lambda c: F.zip_with(F.coalesce(c, "soft"), "soft", lambda a, b: F.greatest(a - b, F.lit(0.0)))  # noqa: E731  without the page itself
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     smooth = lambda c, up, kappa: F.zip_with(c, up, lambda a, u: (a + kappa * u) / (total(c) + kappa))
     joined = joined.withColumn("c_host", less(F.col("c_host"))).withColumn("c_domain", less(F.col("c_domain")))
