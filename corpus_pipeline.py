@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkloom.llm import line_dedup, mixing, near_dups, packing, toxicity
 from sparkloom.llm.common import table, written
@@ -13,13 +14,18 @@ from sparkloom.llm.common import table, written
 ORACLE_SQL = None
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """n_chars follows a text that has changed."""
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.reject_toxic(docs, model)
 
 
 def recurring_lines_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(docs)
+    return counted(line_dedup.dedup_lines(docs))
 
 
 def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +33,7 @@ def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def sources_are_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
+    return counted(mixing.mix(docs))
 
 
 def sequences_are_packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
