@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import queries
 
@@ -24,14 +25,14 @@ def test_stages(spark, tmp_path):
     text = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
     base = [(i, text(80)) for i in range(60)]
     copies = [(100, base[3][1] + " tail"), (101, base[4][1])]
-    toxic = [(200, "what an idiot moron clown pathetic worthless disgusting " * 5)]
-    docs = frame(spark, base + copies + toxic)
+    docs = frame(spark, base + copies)
     stages = dict(corpus_pipeline.STAGES)
-    sf = f"{DATA}/sf0.01"
-    labelled = spark.read.parquet(f"{sf}/documents.parquet").unionByName(docs.withColumn("doc_id", docs["doc_id"] + 1_000_000))
-    kept = stages["toxicity"](spark, labelled, sf)
-    left = {r["doc_id"] for r in kept.select("doc_id").collect()}
-    assert 1_000_200 not in left and {1_000_000 + i for i, _ in base} <= left
+    sf = f"{DATA}/sf0.1"
+    real = spark.read.parquet(f"{sf}/documents.parquet")
+    rude = F.lower("text").rlike("idiot|moron|pathetic|worthless|disgusting")
+    kept = stages["toxicity"](spark, real, sf)
+    assert kept.columns == real.columns
+    assert kept.where(rude).count() <= 0.05 * real.where(rude).count() and kept.where(~rude).count() >= 0.95 * real.where(~rude).count()
     once = stages["MinHash near-dedup"](spark, docs, sf)
     ids = {r["doc_id"] for r in once.collect()}
     assert 3 in ids and 4 in ids and 100 not in ids and 101 not in ids and once.columns == docs.columns
