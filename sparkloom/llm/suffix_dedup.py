@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import whole_text
 
 LENGTH, TRIGGER = 50, 20
-GROUP_BYTES = 16_000_000
-CHUNK_BYTES = 1_000_000
+GROUP_BYTES = 8_000_000
+CHUNK_BYTES = 131_072  # hashed at a time: arrays of eight bytes each stay in the cache
 LAST_ID = 2**63 - 1
 _U = np.uint64
 _RANDOM = np.random.default_rng(987_654_321).integers(0, 2**64, 256, dtype=np.uint64)
@@ -153,15 +153,18 @@ class Group:
         self.trigger, phrase, self.doc, self.first, self.count = parse(self.data, self.ends)
         # distinct phrases, each at its first occurrence: documents are in order, so that is the smallest doc_id
         _, at, inverse = np.unique(_pair(self.trigger, phrase), return_index=True, return_inverse=True)
-        bucket = (self.trigger[at] >> _U(32)) % _U(max(buckets, 1))
-        by_bucket = np.argsort(bucket, kind="stable")
+        # in a bucket, phrases lie as they first occur: the column of doc_ids is in order and takes next to no room
+        by_place = np.argsort(at)
+        bucket = (self.trigger[at[by_place]] >> _U(32)) % _U(max(buckets, 1))
+        order = np.argsort(bucket, kind="stable")
+        by_bucket = by_place[order]
         self.at = at[by_bucket]
         rank = np.empty(len(at), np.int64)
         rank[by_bucket] = np.arange(len(at))
         self.member = rank[inverse.reshape(-1)]  # the distinct phrase of each occurrence
         self.phrase = phrase[self.at]
         self.known = self.order[self.doc[self.at]].copy()  # smallest doc_id with the phrase, as far as known
-        self.cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1).astype(_U))
+        self.cuts = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(_U))
 
     def phrases(self):
         """(bucket, blob) of the distinct phrases."""
@@ -177,7 +180,8 @@ class Group:
             rows = self.cuts[b] + np.frombuffer(blob, "<u4", n)
             self.known[rows] = _unplanes(memoryview(blob)[4 * n : 12 * n], n)
             mixed.append(rows[np.frombuffer(blob, np.uint8, n, 12 * n) > 0])
-        rows = np.sort(np.concatenate(mixed)) if mixed else np.zeros(0, np.int64)
+        rows = np.concatenate(mixed) if mixed else np.zeros(0, np.int64)
+        rows = rows[np.argsort(self.at[rows])]
         return rows[self.known[rows] == self.order[self.doc[self.at[rows]]]]
 
     def suffixes(self, rows: np.ndarray, buckets: int):
