@@ -80,7 +80,8 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 def canonical(c: Column, kind: T.DataType) -> Column:
     """A value's text, alike on every system: numbers without trailing zeros, times to the microsecond, NULL as a mark."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        text = F.format_string("%.15e", c.cast("double"))
+        d = c.cast("double")  # whole numbers without a point, others as the shortest text that reads back alike
+        text = F.when((d == F.floor(d)) & (F.abs(d) < 1e15), F.floor(d).cast("string")).otherwise(d.cast("string"))
     elif isinstance(kind, T.DecimalType):
         text = F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
