@@ -50,7 +50,7 @@ o AS (SELECT l_orderkey, CAST(sum(w) AS BIGINT) AS total FROM l GROUP BY l_order
 s AS (SELECT l.*, o.total, CAST(floor(CAST(w AS DOUBLE) * 1000 / o.total) AS BIGINT) AS base, (w * 1000) % o.total AS rest FROM l JOIN o ON l.l_orderkey = o.l_orderkey),
 k AS (SELECT s.*, 1000 - CAST(sum(base) OVER (PARTITION BY l_orderkey) AS BIGINT) AS open, row_number() OVER (PARTITION BY l_orderkey ORDER BY rest DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS place FROM s)
 SELECT l_orderkey, l_linenumber, l_partkey, base + CASE WHEN place <= open THEN 1 ELSE 0 END AS cents FROM k""")
-Q.sql("mart_expand_by_quantity", "SELECT l_orderkey, l_linenumber, CAST(box AS BIGINT) AS box FROM lineitem LATERAL VIEW explode(sequence(1, CAST(ceil(l_quantity / 10) AS INT))) b AS box WHERE l_orderkey < 1000", "SELECT l_orderkey, l_linenumber, unnest(range(1, CAST(ceil(l_quantity / 10) AS BIGINT) + 1)) AS box FROM lineitem WHERE l_orderkey < 1000")
+Q.sql("mart_expand_by_quantity", "SELECT l_orderkey, l_linenumber, CAST(box AS BIGINT) AS box FROM lineitem LATERAL VIEW explode(sequence(1, CAST(ceil(l_quantity / 10) AS INT))) b AS box", "SELECT l_orderkey, l_linenumber, unnest(range(1, CAST(ceil(l_quantity / 10) AS BIGINT) + 1)) AS box FROM lineitem")
 Q.both("mart_price_spread", "SELECT p_brand, min(p_retailprice) AS lo, median(p_retailprice) AS mid, max(p_retailprice) AS hi, count(*) AS n FROM part GROUP BY p_brand")
 Q.sql("mart_date_spine", "SELECT CAST(d AS DATE) AS d, count(o_orderkey) AS n FROM (SELECT explode(sequence(DATE'1998-01-01', DATE'1998-12-31', INTERVAL 1 DAY)) AS d) s LEFT JOIN orders ON CAST(o_orderdate AS DATE) = d GROUP BY d", "SELECT CAST(d AS DATE) AS d, count(o_orderkey) AS n FROM (SELECT unnest(generate_series(TIMESTAMP '1998-01-01', TIMESTAMP '1998-12-31', INTERVAL 1 DAY)) AS d) s LEFT JOIN orders ON CAST(o_orderdate AS DATE) = CAST(d AS DATE) GROUP BY d")
 Q.sql("mart_name_tokens", "SELECT token, count(*) AS n FROM part LATERAL VIEW explode(split(p_name, ' ')) t AS token GROUP BY token", "SELECT token, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS token FROM part) GROUP BY token")

@@ -169,10 +169,10 @@ Q.both("c05_interval_join", _INTERVAL)
 def _shifted_orders(t):
     from ..functions.temporal import add_interval
 
-    return t.orders.where("o_orderdate >= DATE'1999-01-01'").select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), add_interval(F.col("o_orderdate"), "25 years").alias("at"))
+    return t.orders.select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), add_interval(F.col("o_orderdate"), "25 years").alias("at"))
 
 
-_ASOF_DUCK = "WITH o AS (SELECT o_orderkey, o_custkey % 150 AS user_id, o_orderdate + INTERVAL 25 YEAR AS at FROM orders WHERE o_orderdate >= DATE '1999-01-01') SELECT o.o_orderkey, e.value AS last_value FROM o ASOF LEFT JOIN events e ON o.user_id = e.user_id AND o.at >= e.ts"
+_ASOF_DUCK = "WITH o AS (SELECT o_orderkey, o_custkey % 150 AS user_id, o_orderdate + INTERVAL 25 YEAR AS at FROM orders) SELECT o.o_orderkey, e.value AS last_value FROM o ASOF LEFT JOIN events e ON o.user_id = e.user_id AND o.at >= e.ts"
 
 
 @Q.frame("c06_asof_lookup", _ASOF_DUCK)
