@@ -36,13 +36,14 @@ def few(df: DataFrame, rows: int, most: int = 20_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to a folder that driver and executors share, and read again."""
+def written(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """df, written as Parquet to a folder that driver and executors share, and read again. Columns of hashes are better
+    left uncompressed: they don't shrink, and each reader of a compressed column holds buffers outside the heap."""
     import uuid
 
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     path = f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**({"compression": codec} if codec else {})).parquet(path)
     return spark.read.parquet(path)

@@ -21,17 +21,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, whole_text
+from .common import whole_text, written
 
 LEAD = 3
 SIMILAR = 0.75
 LAST_ID = 2**63 - 1
+_NO_HASH = -7_046_029_254_386_353_131
 GAP = r"[ \t\r\f\x0B]+"
 
 
 def _masked(line: Column) -> Column:
-    plain = F.trim(F.regexp_replace(line, GAP, " "))
-    return F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")
+    """Single spaces between tokens, tokens with a digit as <*>; lines that need neither are only looked through."""
+    odd = line.rlike(r"[\t\r\f\x0B]|  |^ | $")
+    plain = F.when(odd, F.trim(F.regexp_replace(line, GAP, " "))).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(plain)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -40,8 +43,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _lines(keyed: DataFrame) -> DataFrame:
     """key, doc, pos, leaf, line, n: hashes of the lines that are not blank."""
-    each = keyed.select("__key", "__doc", F.posexplode(F.split(whole_text(), "\n", -1)).alias("pos", "raw"))
-    each = each.withColumn("masked", _masked(F.col("raw"))).where(F.col("masked") != "")
+    masked = F.transform(F.split(whole_text(), "\n", -1), _masked)  # once for each line
+    each = keyed.select("__key", "__doc", F.posexplode(masked).alias("pos", "masked")).where(F.col("masked") != "")
     n = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     return each.select(
         F.col("__key").alias("key"), F.col("__doc").alias("doc"), "pos",
@@ -50,56 +53,70 @@ def _lines(keyed: DataFrame) -> DataFrame:
 
 
 def recurring(keyed: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """key, doc, drop: places of the lines that each document drops."""
-    lines = cut_lineage(_lines(keyed))
-    distinct = lines.groupBy("leaf", "line").agg(
-        F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("key").alias("key"), F.min_by("pos", "key").alias("pos"), F.max("n").alias("n")
-    )
-    distinct = cut_lineage(distinct)
-    leaves = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.min("first").alias("first"), F.max("last").alias("last"))
-    varied = leaves.where((F.col("lines") > 1) & (F.col("first") < F.col("last"))).select("leaf")
-    wanted = distinct.where(F.col("n") > LEAD).join(varied, "leaf").select("key", "pos", "leaf", "line")
+    """key, drop: places of the lines that each document drops."""
+    lines = written(_lines(keyed), "uncompressed")
+    distinct = written(lines.groupBy("line").agg(
+        F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("key").alias("key"), F.min_by("pos", "key").alias("pos"), F.min("leaf").alias("leaf"), F.max("n").alias("n")
+    ), "uncompressed")
+    leaves = distinct.where(F.col("n") > LEAD).groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("z"), F.min("first").alias("first"), F.max("last").alias("last"))
+    varied = leaves.where((F.col("a") < F.col("z")) & (F.col("first") < F.col("last"))).select("leaf")
+    wanted = distinct.where(F.col("n") > LEAD).join(varied, "leaf")
     by_text = wanted.groupBy("key").agg(F.collect_list(F.struct("pos", "leaf", "line")).alias("at"))
-    texts = keyed.select(F.col("__key").alias("key"), whole_text().alias("text")).join(by_text, "key").dropDuplicates(["key"])
+    # The second condition is always true. It keeps all columns in the exchange of the texts, so that the join at the end
+    # of ``marked`` has an equal one and both read the same.
+    hashable = [f.name for f in keyed.schema.fields if f.name != "__doc" and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    every = F.xxhash64(*[F.col(c) for c in hashable], F.size("at")) != F.lit(_NO_HASH)
+    texts = keyed.join(by_text, (F.col("__key") == F.col("key")) & every).select("key", "at", whole_text().alias("text"))
+    texts = texts.groupBy("key").agg(F.first("at").alias("at"), F.first("text").alias("text"))  # rows that are repeated; they lie together already
     read = texts.withColumn("raw", F.split("text", "\n", -1)).select(F.explode("at").alias("at"), "raw").select("at.leaf", "at.line", _masked(F.get("raw", F.col("at.pos"))).alias("masked"))
-    tokens = read.select("leaf", "line", F.posexplode(F.split("masked", " ")).alias("place", "token")).where(F.col("place") >= LEAD)
-    tokens = cut_lineage(tokens.where(F.col("token") != "<*>").select("leaf", "line", F.xxhash64("place", "token").alias("token")))
-    constant = tokens.groupBy("leaf", "token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("leaf", "token")
-    shapes = tokens.join(constant, ["leaf", "token"]).groupBy("leaf", "line").agg(F.bit_xor("token").alias("shape"), F.count(F.lit(1)).alias("constants"))
-    known = distinct.join(shapes, ["leaf", "line"], "left")
-    general = (F.col("n") > LEAD) & (F.coalesce("constants", F.lit(0)) + LEAD >= F.lit(similar) * F.col("n"))
-    template = F.when(general, F.xxhash64("leaf", F.coalesce("shape", F.lit(0)), F.coalesce("constants", F.lit(0)))).otherwise(F.xxhash64("leaf", "line"))
-    known = known.select("leaf", "line", "first", "last", template.alias("template"))
-    keepers = known.groupBy("template").agg(F.min("first").alias("keeper"), F.max("last").alias("last")).where(F.col("keeper") < F.col("last")).select("template", "keeper")
-    gone = known.join(keepers, "template").where(F.col("last") > F.col("keeper")).select("leaf", "line", "keeper")
-    hits = lines.join(gone, ["leaf", "line"]).where(F.col("doc") > F.col("keeper"))
+    tokens = read.select("leaf", "line", F.posexplode(F.split("masked", " ")).alias("place", "token")).where((F.col("place") >= LEAD) & (F.col("token") != "<*>"))
+    tokens = tokens.select("line", F.xxhash64("leaf", "place", "token").alias("token"))
+    constant = tokens.groupBy("token").agg(F.min("line").alias("a"), F.max("line").alias("z")).where(F.col("a") < F.col("z")).select("token")
+    shapes = tokens.join(constant, "token").groupBy("line").agg(F.bit_xor("token").alias("shape"), F.count(F.lit(1)).alias("constants"))
+    known = wanted.select("line", "leaf", "n", "first", "last").join(shapes, "line", "left")
+    general = F.coalesce("constants", F.lit(0)) + LEAD >= F.lit(similar) * F.col("n")
+    template = F.xxhash64("leaf", F.coalesce("shape", F.lit(0)), F.coalesce("constants", F.lit(0)))
+    known = known.where(general & F.col("first").isNotNull() & F.col("last").isNotNull()).select("line", "first", "last", template.alias("template"))
+    # both uses of known read the same columns, so that what it is made of is made once
+    keepers = known.groupBy("template").agg(F.min("first").alias("keeper"), F.max("last").alias("last"), F.min("line").alias("some"))
+    keepers = keepers.where((F.col("keeper") < F.col("last")) & F.col("some").isNotNull()).select("template", "keeper")
+    alike = known.join(keepers, "template").where((F.col("last") > F.col("keeper")) & (F.col("first") >= F.col("keeper"))).select("line", "keeper")
+    equal = distinct.where(F.col("first") < F.col("last")).select("line", F.col("first").alias("keeper"))
+    gone = alike.unionAll(equal).groupBy("line").agg(F.min("keeper").alias("keeper"))
+    hits = lines.select("key", "doc", "pos", "line").join(gone, "line").where(F.col("doc") > F.col("keeper"))
     return hits.groupBy("key").agg(F.collect_set("pos").alias("drop"))
 
 
 def marked(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """docs with __raw (its lines) and __keep (places of lines to keep)."""
+    """docs with drop: the places of lines to drop, NULL for none."""
     keyed = _keyed(docs)
     drops = recurring(keyed, similar)
-    out = keyed.join(drops.withColumnRenamed("key", "__key"), "__key", "left").withColumn("__raw", F.split(whole_text(), "\n", -1))
-    every = F.sequence(F.lit(0), F.size("__raw") - 1)
-    return out.withColumn("__keep", F.when(F.col("drop").isNull(), every).otherwise(F.array_except(every, "drop")))
+    return keyed.join(drops.withColumnRenamed("key", "__key"), "__key", "left")
+
+
+def _kept() -> Column:
+    """The text without the lines to drop."""
+    raw = F.split("text", "\n", -1)
+    places = F.array_except(F.sequence(F.lit(0), F.size(raw) - 1), "drop")
+    return F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(places, lambda i: F.get(raw, i)), "\n"))
 
 
 def dedup_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """docs, text without the lines that recur; columns as in docs."""
-    kept = F.array_join(F.transform("__keep", lambda i: F.get("__raw", i)), "\n")
-    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept)
-    return marked(docs, similar).withColumn("text", text).select(*docs.columns)
+    """docs, text without the lines that recur; columns as in docs. Other columns travel in a struct, out of the way of
+    the names used here."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    sealed = docs.select("doc_id", "text", *([F.struct(*others).alias("__rest")] if others else []))
+    out = marked(sealed, similar)
+    return out.select(*[_kept().alias(c) if c == "text" else F.col(c) if c == "doc_id" else F.col("__rest").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = F.array_join(F.transform("__keep", lambda i: F.get("__raw", i)), "\n")
-    return marked(docs).select(
-        "doc_id", F.size("__raw").cast("long").alias("n_lines"), (F.size("__raw") - F.size("__keep")).cast("long").alias("n_dropped"), kept.alias("kept")
-    ).select("doc_id", "n_lines", "n_dropped", F.length("kept").cast("long").alias("kept_chars"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    n_lines = F.length(whole_text()) - F.length(F.replace(whole_text(), F.lit("\n"), F.lit(""))) + 1
+    made = marked(docs).select("doc_id", n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(_kept(), F.lit("")).alias("kept"))
+    return made.select("doc_id", "n_lines", "n_dropped", F.length("kept").cast("long").alias("kept_chars"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 ORACLE_SQL = r"""
