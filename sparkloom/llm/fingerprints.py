@@ -24,8 +24,9 @@ from .common import whole_text
 
 SHINGLE_WORDS = 5
 FRACTION_BITS = 2  # keep hashes below 2^-2 of the range
-RANGE_ROWS = 4_000
-MAX_RANGES = 131_072
+RANGE_ROWS = 2_000
+MAX_RANGES = 65_536
+PICKS = 16  # doc ids looked at for each cut, which evens the ranges out
 LEAST_ID = -(2**63)
 
 
@@ -78,14 +79,16 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def _range_bounds(docs: DataFrame, range_rows: int) -> tuple[list[int], int | None]:
-    """Doc ids to cut at (at most about MAX_RANGES, picked by a hash) and the largest doc id."""
+    """Doc ids to cut at (at most about MAX_RANGES, among those that a hash picks) and the largest doc id."""
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("i"))
     n, most = ids.agg(F.count(F.lit(1)), F.max("i")).first()
     if not n:
         return [], None
-    every = max(range_rows, -(-n // MAX_RANGES))
-    picked = ids.where(F.pmod(F.xxhash64("i"), F.lit(every)) == 0).distinct().collect() if n > range_rows else []
-    return sorted(r[0] for r in picked), most
+    ranges = max(n // range_rows, min(n, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ranges = min(ranges, MAX_RANGES)
+    every = max(1, n // (ranges * PICKS))
+    picked = sorted(r[0] for r in ids.where(F.pmod(F.xxhash64("i"), F.lit(every)) == 0).distinct().collect())
+    return picked[PICKS // 2 :: PICKS], most
 
 
 def with_next(docs: DataFrame, columns: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
