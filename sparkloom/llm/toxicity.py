@@ -25,6 +25,7 @@ from .common import few, whole_text
 BUCKET_BITS = 18
 SIZES = (4, 5)
 MAX_ROWS = 6_000
+CHUNK = 250
 THRESHOLD = 0.3
 SEED = 71
 
@@ -83,24 +84,32 @@ def fit(texts: list[str], labels: np.ndarray, bits: int = BUCKET_BITS, rounds: i
     if not len(y) or share in (0.0, 1.0):
         odds = np.log((share + 1e-9) / (1 - share + 1e-9))
         return Model(np.zeros(width), np.zeros(width), odds)
-    grams = NGrams(bits)
-    each = [grams(t) for t in texts]
-    at = np.concatenate(each)
-    row = np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each])
-    del each
-    p = np.bincount(at, weights=y[row], minlength=width) + smooth
-    q = np.bincount(at, weights=(1 - y)[row], minlength=width) + smooth
+    grams, parts = NGrams(bits), []
+    p, q, seen = np.full(width, smooth), np.full(width, smooth), np.zeros(width)
+    for lo in range(0, len(texts), CHUNK):  # bucket, row within the chunk: what is worked on at once stays small
+        each = [grams(t) for t in texts[lo : lo + CHUNK]]
+        at, row = np.concatenate(each), np.repeat(np.arange(len(each), dtype=np.int16), [len(x) for x in each])
+        mine = y[lo : lo + CHUNK][row]
+        p += np.bincount(at, weights=mine, minlength=width)
+        q += np.bincount(at, weights=1 - mine, minlength=width)
+        seen += np.bincount(at, minlength=width)
+        parts.append((slice(lo, lo + len(each)), at, row))
     ratio = np.log(p / (y.sum() + 2 * smooth)) - np.log(q / ((1 - y).sum() + 2 * smooth))
-    ratio[np.bincount(at, minlength=width) < least] = 0
-    value = ratio[at].astype(np.float32)
-    value /= np.sqrt(np.bincount(row, weights=value.astype(np.float64) ** 2, minlength=len(y)) + 1e-9)[row].astype(np.float32)
+    ratio[seen < least] = 0
+    values = []
+    for rows, at, row in parts:
+        value = ratio[at].astype(np.float32)
+        length = np.sqrt(np.bincount(row, weights=value.astype(np.float64) ** 2, minlength=len(y[rows])) + 1e-9)
+        values.append(value / length[row].astype(np.float32))
     w, b = np.zeros(width), float(np.log(share / (1 - share)))
     m, v, mb, vb, rate = np.zeros(width), np.zeros(width), 0.0, 0.0, 0.1
     for k in range(1, rounds + 1):  # gradient steps with adaptive moments
-        z = np.bincount(row, weights=value * w[at], minlength=len(y)) + b
-        g = (1 / (1 + np.exp(-z)) - y) / len(y)
-        gw = np.bincount(at, weights=g[row] * value, minlength=width) + penalty * w
-        gb = float(g.sum())
+        gw, gb = penalty * w, 0.0
+        for (rows, at, row), value in zip(parts, values, strict=True):
+            z = np.bincount(row, weights=value * w[at], minlength=len(y[rows])) + b
+            g = (1 / (1 + np.exp(-z)) - y[rows]) / len(y)
+            gw += np.bincount(at, weights=g[row] * value, minlength=width)
+            gb += float(g.sum())
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         step, scale = rate / (1 - 0.9**k), 1 - 0.999**k
