@@ -86,6 +86,10 @@ class Encoder:
         self.known.update((w, stems[s] + stems[m] if m else stems[s]) for w, s, m in plain)
         self.known.update(zip(rest, self._encode(rest), strict=True))
 
+    def forget(self) -> None:
+        """A worker lives on after its task; what it knew of words need not."""
+        self.known, self.stems = {}, {}
+
     def batch(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known = self.known
@@ -166,6 +170,7 @@ def tokenized(docs: DataFrame, path: str, window: int = WINDOW, grain: int = GRA
                     tail_start += tail
                     full_start += full
                 yield _batch(rows, TOKEN_TYPES)
+        enc.forget()
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, TOKEN_SCHEMA)
     return out
@@ -177,7 +182,7 @@ TOKEN_TYPES = pa.schema([
 ])
 
 
-def _slices(texts: list[str], most: int = 4_000_000):
+def _slices(texts: list[str], most: int = 1_000_000):
     """Runs of texts of about so many characters: what is held at once stays small."""
     lo = size = 0
     for i, t in enumerate(texts):
