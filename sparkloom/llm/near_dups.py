@@ -11,14 +11,15 @@ similarity.
 Weights are 1 by default, so that the similarity is that of sets of shingles; ``weights="count"`` takes how often a
 text has a shingle.
 
-Equal texts are one class from the start. Bands of ROWS coordinates give buckets; in each bucket, the member whose
-hash with the band is least is the centre, and every other member is paired with it, so that a bucket of n members
-gives n - 1 pairs and a hot bucket never meets itself. Centres differ from band to band. Each pair is then checked
-exactly on the two texts. Links make classes by minimum labels over rounds that each double their reach.
+Equal texts are one class from the start. Bands of ROWS coordinates give buckets, and every two texts that share a
+bucket are compared exactly. Buckets of PAIRED members at most give pairs, each compared once. The members of a larger
+bucket are dealt by a hash into blocks of about BLOCK, and each two blocks meet in a group of their own, so that a hot
+bucket is many bounded groups; a pair that shares several buckets counts in one of them. A group returns a row for each
+of its linked members, not its links. The work of a hot bucket still grows with the square of its distinct texts. Links
+make classes by minimum labels over rounds that each double their reach.
 
-Recall: at similarity 0.8, two texts share none of the 32 bands of 4 with a chance of (1 - 0.8^4)^32 = 5e-8; of the 13
-or so buckets that they share, those without other texts pair them at once, and in larger ones each may be the centre
-or both may link to it.
+Recall: at similarity 0.8, two texts share none of the 32 bands of 4, and are so not compared, with a chance of
+(1 - 0.8^4)^32 = 5e-8.
 
 Edge cases: a null text counts as an empty one; texts without words are one class; repeated rows are one class; classes
 carry the smallest doc_id (null only if all are); an empty table gives no rows; extra columns are kept by ``dedup``.
@@ -38,6 +39,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 LEAST_CELL = -4  # ranks below 2^-3 are one cell
+PAIRED, BLOCK = 32, 128
+VOCABULARY = 8_192  # columns of a block's matrix at a time
 MOST_DARTS = 12  # of one cell: the chance of more is below 1e-8 for the largest cell that is not split
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -211,6 +214,87 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, weights: str
     return both.mapInArrow(run, "a long, b long")
 
 
+def units(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A set whose intersections have the size of the least weights: an element for each unit of weight."""
+    n = weights.astype(np.int64)
+    level = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return mix(np.repeat(elements, n) ^ mix(level.astype(np.uint64) * BASE))
+
+
+def similarities(sets: list[np.ndarray], first: int) -> np.ndarray:
+    """Jaccard similarities of the first sets (rows) and the others (columns); of all with all if all are first."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = n[at] > 1
+    at, owner = (np.cumsum(n > 1) - 1)[at[shared]], np.repeat(np.arange(len(sets)), sizes)[shared]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    rows, columns = slice(first), slice(first if first < len(sets) else 0, None)
+    both = np.zeros((len(sizes[rows]), len(sizes[columns])))
+    for lo in range(0, int((n > 1).sum()), VOCABULARY):
+        l, r = np.searchsorted(at, [lo, lo + VOCABULARY])
+        m = np.zeros((len(sets), VOCABULARY), np.float32)
+        m[owner[l:r], at[l:r] - lo] = 1
+        both += m[rows] @ m[columns].T
+    if first == len(sets):
+        np.fill_diagonal(both, sizes)
+    either = sizes[rows][:, None] + sizes[columns][None, :] - both
+    return np.where(either > 0, both / np.maximum(either, 1), 1.0)
+
+
+def group_labels(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The least id that each member reaches by the links of a symmetric matrix."""
+    a, b = np.nonzero(linked)
+    label = ids.copy()
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def blocked(met: DataFrame, texts: DataFrame, similarity: float, weights: str = "set") -> DataFrame:
+    """id, label, n for the linked members of each two blocks of the buckets of over PAIRED members: a linked id (or its
+    own) and the number of links. Pairs that share a bucket of PAIRED members or fewer are left out; others count in the
+    first large bucket that they share. met: id, band, bucket, n."""
+    big = met.where(F.col("n") > PAIRED)
+    places = met.join(big.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_list(F.struct("band", "bucket", "n")).alias("places"))
+    count = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = big.select("id", "band", "bucket", F.pmod(F.xxhash64(F.lit(7), "id"), count).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
+    dealt = dealt.select("id", "band", "bucket", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    full = dealt.join(places, "id").join(texts, "id")
+
+    def run(key, table):
+        band, i = key[0].as_py(), key[2].as_py()
+        block = table.column("block").to_numpy()
+        table = table.take(pa.array(np.argsort(block != i, kind="stable")))
+        first, m = int((block == i).sum()), table.num_rows
+        ids = table.column("id").to_numpy()
+        listed = table.column("places").combine_chunks()
+        owner, flat = np.repeat(np.arange(m), listed.value_lengths().to_numpy(zero_copy_only=False)), listed.flatten()
+        of, bucket, n = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("band", "bucket", "n"))
+        at, size = np.zeros((m, max(int(of.max()), 0) + 2), np.int64), np.zeros((m, max(int(of.max()), 0) + 2), np.int64)
+        at[owner, of + 1], size[owner, of + 1] = bucket, n
+        rows, columns = slice(first), slice(first if first < m else 0, None)
+        due = np.ones((len(ids[rows]), len(ids[columns])), bool)
+        for b in range(at.shape[1]):  # only if they share no small bucket, and no large one of an earlier band
+            alike = (at[rows, b][:, None] == at[columns, b][None, :]) & (size[rows, b] > 0)[:, None] & (size[columns, b] > 0)[None, :]
+            due &= ~(alike & ((size[rows, b] <= PAIRED) | (b < band + 1))[:, None])
+        if first == m:
+            due &= ~np.eye(m, dtype=bool)
+        linked = np.zeros((m, m), bool)
+        if due.any():
+            sets = [units(*weighted(h, weights)) for h in shingle_hashes(table.column("text").to_pylist())]
+            linked[rows, columns] = due & (similarities(sets, first) >= similarity)
+            linked |= linked.T
+        degree = linked.sum(axis=1)
+        has = degree > 0
+        return pa.table({"id": ids[has], "label": group_labels(linked, ids)[has], "n": degree[has].astype(np.int64)})
+
+    return full.groupBy("band", "bucket", "i", "j").applyInArrow(run, "id long, label long, n long")
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """id, label for each id in links (a, b): label is the least id that links reach. In each round every id takes the
     least label of its neighbours, then that label's own label, so that long chains shrink by half."""
@@ -230,15 +314,19 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "set", n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """id, label, class_id, n_links for each distinct text: id is the hash of the text, label that of its class,
-    class_id the least doc_id of the class, n_links the number of checked links to other texts."""
+    class_id the least doc_id of the class, n_links the number of other texts that share a bucket and are similar."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("id"), whole_text().alias("text"))
     found = cut_lineage(bands(keyed.select("id", "text"), weights, n_bands, rows).distinct())
-    centre = found.groupBy("band", "bucket").agg(F.min_by("id", F.xxhash64("band", "id")).alias("centre"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    pairs = found.join(centre, ["band", "bucket"]).where(F.col("id") != F.col("centre"))
-    pairs = pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    counts = found.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    met = cut_lineage(found.join(counts, ["band", "bucket"]).select("id", "band", "bucket", "n"))
+    lists = met.where(F.col("n") <= PAIRED).groupBy("band", "bucket").agg(F.collect_list("id").alias("ids"))
+    pairs = lists.select(F.explode("ids").alias("a"), "ids").select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b")).distinct()
     texts = keyed.select("id", "text").dropDuplicates(["id"])
-    links = cut_lineage(verified(pairs, texts, similarity, weights))
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    paired = cut_lineage(verified(pairs, texts, similarity, weights))
+    grouped = cut_lineage(blocked(met, texts, similarity, weights))
+    links = paired.unionAll(grouped.where(F.col("id") != F.col("label")).select(F.col("id").alias("a"), F.col("label").alias("b")))
+    ends = paired.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("long").alias("n")).unionAll(grouped.select("id", "n"))
+    degree = ends.groupBy("id").agg(F.sum("n").alias("n_links"))
     owners = keyed.groupBy("id").agg(F.min("doc_id").alias("owner"))
     joined = owners.join(components(links), "id", "left").join(degree, "id", "left").select(
         "id", "owner", F.coalesce("label", "id").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")

@@ -403,6 +403,40 @@ def test_near_dups_equal_plain(spark, rows):
     assert kept.columns == docs.columns and kept.count() == len({(v if v is not None else k) for k, v in want.items()})
 
 
+def boilerplate(seed, edits):
+    """Texts made from one base by that many independent edits each, apart enough that no shingle has two."""
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(320)]
+    rows = []
+    for i, n in enumerate(edits):
+        text = list(base)
+        for k in r.sample(range(2, 318, 6), n):
+            text[k] = f"e{i}_{k}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("edits,weights,block", [([7] * 150 + [3] * 2, "set", 128), ([1] * 40 + [9] * 20, "count", 16)])
+def test_near_dups_of_a_hot_bucket_are_all_compared(spark, monkeypatch, edits, weights, block):
+    monkeypatch.setattr(near_dups, "BLOCK", block)
+    rows = boilerplate(3, edits)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    n_links = [sum(len(x & y) >= 0.8 * len(x | y) for y in sets) - 1 for x in sets]
+    docs = frame(spark, rows)
+    ids = docs.select("doc_id", F.xxhash64("text").alias("id"))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ids.join(near_dups.classes(docs, weights=weights), "id").collect()}
+    assert {(k, rows[k][1]): c for k, (c, _) in got.items()} == plain_classes(rows)
+    assert [got[i][1] for i in range(len(rows))] == n_links
+
+
+def test_block_similarities_equal_pairwise():
+    r = np.random.default_rng(2)
+    sets = [near_dups.weighted(r.integers(0, 40, n).astype(np.uint64), "count") for n in (0, 0, 1, 30, 60, 60, 90)]
+    for first in (3, 7):
+        want = [[near_dups.jaccard(x, y) for y in (sets[first:] or sets)] for x in sets[:first]]
+        assert np.allclose(near_dups.similarities([near_dups.units(*x) for x in sets], first), want, atol=1e-12)
+
+
 def test_near_dups_of_no_rows(spark):
     assert near_dups.dedup(frame(spark, [])).count() == 0
 
