@@ -37,6 +37,7 @@ SEED = 5
 
 _BLOCKS = re.compile(r"<!--.*?-->|<(script|style|nav|header|footer|aside|form|noscript)\b.*?</\1\s*>|<div[^>]*class=[\"']?(?:ad|ads|advert|cookie|menu)\b.*?</div\s*>", re.S | re.I)
 _TAGS = re.compile(r"<[^>]*>")
+_COMMENTS = re.compile(r"<!--.*?-->", re.S)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 
 
@@ -99,7 +100,7 @@ def evidence(pages: DataFrame, languages: Languages) -> DataFrame:
         for batch in batches:
             declared, score = [], []
             for page in batch.column(2).to_pylist():
-                m = _LANG.search(page[:4096])
+                m = _LANG.search(_COMMENTS.sub(" ", page))
                 declared.append(m[1].lower() if m else "")
                 score.append([round(float(x), 6) for x in shared.value.log_likelihood(visible_text(page))])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(declared, pa.string()), pa.array(score, pa.list_(pa.float64()))], names=["page_id", "host", "declared", "text_score"])

@@ -281,6 +281,13 @@ def test_language_falls_back(spark):
     assert language.fuse(spark.createDataFrame(rows, "page_id long, url string, html string"), language.fit([], [])).first()["lang"] is None
 
 
+@pytest.mark.parametrize("lead", ["<!-- " + "x " * 5_000 + "-->", "<!-- <html lang=en> -->" + " " * 10_000, "<?xml version='1.0'?>" + "\n" * 10_000])
+def test_language_reads_late_declarations(spark, lead):
+    model = language.fit(["the cat and the dog " * 50, "der hund und die katze " * 50], ["en", "de"])
+    pages = spark.createDataFrame([(1, "http://a.de/", lead + '<html lang="de"><body>der hund</body></html>')], "page_id long, url string, html string")
+    assert language.fuse(pages, model).first()["declared"] == "de"
+
+
 # -- mixing --------------------------------------------------------------------------------------------------------------------
 def test_targets():
     assert mixing.share_targets([100, 100, 100]) == pytest.approx([187.5, 75, 37.5])
