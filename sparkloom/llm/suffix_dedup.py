@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings by prefix-free parsing.
+"""Removal of repeated byte strings by the phrases of prefix-free parsing, exact but for hash collisions.
 
 A byte is removed if a string of LENGTH bytes that covers it also starts in a document with a smaller doc_id.
 
@@ -12,7 +12,8 @@ Order. Equal strings have the same trigger, so dictionary suffixes need ordering
 First, phrases are ordered by trigger and phrase: a phrase known from a smaller doc_id is removed whole wherever it
 stands. Then, for triggers with several phrases only, the suffixes of these phrases are ordered by their first LENGTH
 bytes, which finds strings that phrases share in part. As only equality within that depth matters here, ranks are taken
-from 80- and 96-bit hashes of the bytes, not from their lexicographic order.
+from 80- and 96-bit hashes of the bytes, not from their lexicographic order: no suffix array of the dictionary is built,
+and the parse is never ordered.
 
 Exchange. Documents are dealt into groups of some megabytes. Each group sends its distinct phrases (not each of their
 occurrences) to buckets by trigger, as packed columns, and gets back what differs; then the same with suffixes. So a
