@@ -31,6 +31,11 @@ def whole_text(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def hashable(df: DataFrame) -> list[str]:
+    """Columns that a hash can take: all but maps and variants, also inside others."""
+    return [f"`{f.name.replace('`', '``')}`" for f in df.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+
+
 def few(df: DataFrame, rows: int, most: int = 20_000) -> DataFrame:
     """A broadcast hint for a table that was made of this many driver rows, where they are few."""
     return F.broadcast(df) if rows <= most else df

@@ -11,18 +11,32 @@ similarity.
 Weights are 1 by default, so that the similarity is that of sets of shingles; ``weights="count"`` takes how often a
 text has a shingle.
 
-Equal texts are one class from the start. Bands of ROWS coordinates give buckets, and every two texts that share a
-bucket are compared exactly. Buckets of PAIRED members at most give pairs, each compared once. The members of a larger
-bucket are dealt by a hash into blocks of about BLOCK, and each two blocks meet in a group of their own, so that a hot
-bucket is many bounded groups; a pair that shares several buckets counts in one of them. A group returns a row for each
-of its linked members, not its links. The work of a hot bucket still grows with the square of its distinct texts. Links
-make classes by minimum labels over rounds that each double their reach.
+Equal texts are one class from the start. Bands of ROWS coordinates give buckets. Links are found in two passes.
+
+1. Each member of a bucket is compared with the bucket's centre, its least id. That is linear, and joins almost all of a
+   large group of near copies. Its links make classes.
+2. What is left are pairs that share a bucket and lie in different classes; every one of them is compared, so that no
+   link is lost that joins two classes. Buckets of PAIRED members at most give such pairs. The members of a larger bucket
+   are dealt into blocks of about BLOCK, those in the centre's class apart from the rest, and each two blocks, but for two
+   of the centre's class, meet in a bounded group of their own. A pair counts in the first bucket that it shares.
+
+Before texts are sent, signatures are compared whole: two texts of the wanted similarity agree in fewer than ``least_equal``
+of 128 coordinates with a chance below 1e-7. What passes is compared exactly, by shingles. Links make classes by minimum
+labels over rounds that each double their reach.
+
+A bucket whose members are unlike each other is compared by signatures alone, at some 0.1 microseconds a pair; that work
+grows with the square of its distinct texts, spread over its groups.
 
 Recall: at similarity 0.8, two texts share none of the 32 bands of 4, and are so not compared, with a chance of
 (1 - 0.8^4)^32 = 5e-8.
 
+Texts are told apart by 64-bit hashes; a second one finds texts that share the first by chance, which then get ids of
+their own.
+
 Edge cases: a null text counts as an empty one; texts without words are one class; repeated rows are one class; classes
-carry the smallest doc_id (null only if all are); an empty table gives no rows; extra columns are kept by ``dedup``.
+carry the smallest doc_id (null only if all are); of several rows with a class's smallest doc_id, ``dedup`` keeps the one
+of the least text id, then of the least hash of all columns; an empty table gives no rows; extra columns, whatever their
+names, are kept by ``dedup``.
 """
 
 from __future__ import annotations
@@ -32,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, whole_text
+from .common import cut_lineage, hashable, whole_text
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -54,6 +68,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
+BASES = np.arange(1, MOST_DARTS + 2, dtype=np.uint64) * BASE
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +155,7 @@ def _throw(step: np.ndarray, below: np.ndarray, owner: np.ndarray, cell: int, k:
     counts = poisson(width / parts, _unit(h))
     has, d, found = np.flatnonzero(counts), 0, []
     while len(has):
-        g = mix(h[has] + np.uint64(d + 1) * BASE)
+        g = mix(h[has] + BASES[d])
         row, part = np.divmod(has, parts)
         hit = _unit(mix(g ^ _MIX1)) < below[row]  # where the dart's weight lies within its step
         g, row, part = g[hit], row[hit], part[hit]
@@ -171,29 +186,52 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / (float(a[1].sum() + b[1].sum()) - both)
 
 
-BAND_TYPES = pa.schema([("id", pa.int64()), ("band", pa.int32()), ("bucket", pa.int64())])
+SKETCH = pa.schema([("id", pa.int64()), ("buckets", pa.list_(pa.int64())), ("coordinates", pa.binary())])
+WORDLESS = 0  # the one bucket of texts without words
+
+
+def least_equal(coordinates: int, similarity: float) -> int:
+    """Six deviations below the number of coordinates in which two texts of the similarity agree on average."""
+    return max(int(coordinates * similarity - 6 * (coordinates * similarity * (1 - similarity)) ** 0.5), 0)
 
 
-def bands(texts: DataFrame, weights: str = "set", n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, band, bucket for each of (id, text); texts without words have the one bucket 0 of band -1."""
+def sketches(texts: DataFrame, weights: str = "set", n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """id, buckets (one for each band, in order), coordinates (16 bits of each) for each of (id, text)."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
                 sets = [weighted(h, weights) for h in shingle_hashes(part.column(1).to_pylist())]
-                full = np.array([len(e) > 0 for e, _ in sets])
-                sig = signatures([e for e, _ in sets], [w for _, w in sets], n_bands * rows)[full].reshape(-1, n_bands, rows)
-                h = np.zeros(sig.shape[:2], np.uint64)
+                sig = signatures([e for e, _ in sets], [w for _, w in sets], n_bands * rows)
+                h = np.tile(mix(np.arange(1, n_bands + 1, dtype=np.uint64) * BASE), (len(sets), 1))
                 for r in range(rows):
-                    h = mix((h ^ sig[:, :, r]) + BASE)
-                out_ids = np.concatenate([np.repeat(ids[full], n_bands), ids[~full]])
-                band = np.concatenate([np.tile(np.arange(n_bands, dtype=np.int32), int(full.sum())), np.full(int((~full).sum()), -1, np.int32)])
-                bucket = np.concatenate([h.reshape(-1).view(np.int64), np.zeros(int((~full).sum()), np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(band), pa.array(bucket)], schema=BAND_TYPES)
+                    h = mix((h ^ sig.reshape(-1, n_bands, rows)[:, :, r]) + BASE)
+                short = (sig >> np.uint64(48)).astype("<u2")
+                buckets = [x if len(e) else [WORDLESS] for x, (e, _) in zip(h.view(np.int64).tolist(), sets, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(buckets, pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())], schema=SKETCH)
 
-    return texts.mapInArrow(run, "id long, band int, bucket long")
+    return texts.select("id", "text").mapInArrow(run, "id long, buckets array<long>, coordinates binary")
+
+
+def _coordinates(column) -> np.ndarray:
+    cells = column.to_pylist()
+    return np.frombuffer(b"".join(cells), "<u2").reshape(len(cells), -1)
+
+
+def promising(pairs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose signatures don't rule the similarity out."""
+    side = lambda x: sketched.select(F.col("id").alias(x), F.col("coordinates").alias(f"at_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "at_a", "at_b")
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = _coordinates(batch.column(2)), _coordinates(batch.column(3))
+                good = (a == b).sum(axis=1) >= least_equal(a.shape[1], similarity)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, weights: str = "set") -> DataFrame:
@@ -254,45 +292,74 @@ def group_labels(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
         label = new
 
 
-def blocked(met: DataFrame, texts: DataFrame, similarity: float, weights: str = "set") -> DataFrame:
-    """id, label, n for the linked members of each two blocks of the buckets of over PAIRED members: a linked id (or its
-    own) and the number of links. Pairs that share a bucket of PAIRED members or fewer are left out; others count in the
-    first large bucket that they share. met: id, band, bucket, n."""
-    big = met.where(F.col("n") > PAIRED)
-    places = met.join(big.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_list(F.struct("band", "bucket", "n")).alias("places"))
-    count = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = big.select("id", "band", "bucket", F.pmod(F.xxhash64(F.lit(7), "id"), count).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
-    dealt = dealt.select("id", "band", "bucket", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    full = dealt.join(places, "id").join(texts, "id")
-
-    def run(key, table):
-        band, i = key[0].as_py(), key[2].as_py()
-        block = table.column("block").to_numpy()
-        table = table.take(pa.array(np.argsort(block != i, kind="stable")))
-        first, m = int((block == i).sum()), table.num_rows
-        ids = table.column("id").to_numpy()
-        listed = table.column("places").combine_chunks()
-        owner, flat = np.repeat(np.arange(m), listed.value_lengths().to_numpy(zero_copy_only=False)), listed.flatten()
-        of, bucket, n = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("band", "bucket", "n"))
-        at, size = np.zeros((m, max(int(of.max()), 0) + 2), np.int64), np.zeros((m, max(int(of.max()), 0) + 2), np.int64)
-        at[owner, of + 1], size[owner, of + 1] = bucket, n
-        rows, columns = slice(first), slice(first if first < m else 0, None)
-        due = np.ones((len(ids[rows]), len(ids[columns])), bool)
-        for b in range(at.shape[1]):  # only if they share no small bucket, and no large one of an earlier band
-            alike = (at[rows, b][:, None] == at[columns, b][None, :]) & (size[rows, b] > 0)[:, None] & (size[columns, b] > 0)[None, :]
-            due &= ~(alike & ((size[rows, b] <= PAIRED) | (b < band + 1))[:, None])
-        if first == m:
-            due &= ~np.eye(m, dtype=bool)
-        linked = np.zeros((m, m), bool)
+def dealt_blocks(large: DataFrame) -> DataFrame:
+    """bucket, i, j, id, label, first for the members of each two blocks that may hold links between classes: blocks of
+    the centre's class come before the others, and no two of them meet. large: bucket, id, label, main, n, n_main."""
+    of = lambda n: F.ceil(n / BLOCK).cast("int")
+    n_main, n_rest = of(F.col("n_main")), of(F.col("n") - F.col("n_main"))
+    is_main = F.col("label") == F.col("main")
+    h = F.xxhash64(F.lit(7), "id")
+    block = F.when(is_main, F.pmod(h, n_main)).otherwise(n_main + F.pmod(h, n_rest)).cast("int")
+    others = F.sequence(F.when(is_main, n_main).otherwise(F.lit(0)), n_main + n_rest - 1)
+    dealt = large.select("bucket", "id", "label", block.alias("block"), F.explode(others).alias("other"))
+    return dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "label", (F.col("block") <= F.col("other")).alias("first"))
+
+
+def _sides(table: pa.Table) -> tuple[pa.Table, int]:
+    """The members of the first block before those of the second, and how many the first has."""
+    first = table.column("first").to_numpy(zero_copy_only=False)
+    return table.take(pa.array(np.argsort(~first, kind="stable"))), int(first.sum())
+
+
+def _across(label: np.ndarray, m: int) -> np.ndarray:
+    """Whether members of the first block (rows) and the second (columns; the first again if there is none) differ in class."""
+    return label[:m, None] != label[m if m < len(label) else 0 :][None, :]
+
+
+def promising_members(groups: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """The members of groups that have a partner there, by signatures, in a class other than their own."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table, m = _sides(table)
+        lo = m if m < table.num_rows else 0
+        due = _across(table.column("label").to_numpy(), m)
+        if due.any():
+            at = _coordinates(table.column("coordinates"))
+            equal = np.zeros(due.shape, np.int32)
+            for c in range(at.shape[1]):
+                equal += at[:m, c][:, None] == at[lo:, c][None, :]
+            due &= equal >= least_equal(at.shape[1], similarity)
         if due.any():
+            buckets = table.column("buckets").to_pylist()
+            here = buckets[0].index(table.column("bucket")[0].as_py())
+            earlier = np.array([b[:here] for b in buckets], np.int64).reshape(len(buckets), -1)
+            for c in range(here):
+                due &= earlier[:m, c][:, None] != earlier[lo:, c][None, :]
+        has = np.zeros(table.num_rows, bool)
+        has[:m] = due.any(axis=1)
+        has[lo:] |= due.any(axis=0)
+        return table.select(["bucket", "i", "j", "id", "label", "first"]).filter(pa.array(has))
+
+    full = groups.join(sketched, "id")
+    return full.groupBy("bucket", "i", "j").applyInArrow(run, "bucket long, i int, j int, id long, label long, first boolean")
+
+
+def linked_members(groups: DataFrame, texts: DataFrame, similarity: float, weights: str = "set") -> DataFrame:
+    """Links (a, b) that join the members of each group as all its links between classes do."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table, m = _sides(table)
+        ids, label, n = table.column("id").to_numpy(), table.column("label").to_numpy(), table.num_rows
+        lo, linked = m if m < n else 0, np.zeros((n, n), bool)
+        if 0 < m:
             sets = [units(*weighted(h, weights)) for h in shingle_hashes(table.column("text").to_pylist())]
-            linked[rows, columns] = due & (similarities(sets, first) >= similarity)
+            linked[:m, lo:] = _across(label, m) & (similarities(sets, m) >= similarity)
             linked |= linked.T
-        degree = linked.sum(axis=1)
-        has = degree > 0
-        return pa.table({"id": ids[has], "label": group_labels(linked, ids)[has], "n": degree[has].astype(np.int64)})
+        least = group_labels(linked, ids)
+        has = least != ids
+        return pa.table({"a": ids[has], "b": least[has]})
 
-    return full.groupBy("band", "bucket", "i", "j").applyInArrow(run, "id long, label long, n long")
+    return groups.join(texts, "id").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -312,41 +379,75 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("classes need more rounds")
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "set", n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, label, class_id, n_links for each distinct text: id is the hash of the text, label that of its class,
-    class_id the least doc_id of the class, n_links the number of other texts that share a bucket and are similar."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("id"), whole_text().alias("text"))
-    found = cut_lineage(bands(keyed.select("id", "text"), weights, n_bands, rows).distinct())
-    counts = found.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    met = cut_lineage(found.join(counts, ["band", "bucket"]).select("id", "band", "bucket", "n"))
-    lists = met.where(F.col("n") <= PAIRED).groupBy("band", "bucket").agg(F.collect_list("id").alias("ids"))
-    pairs = lists.select(F.explode("ids").alias("a"), "ids").select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b")).distinct()
-    texts = keyed.select("id", "text").dropDuplicates(["id"])
-    paired = cut_lineage(verified(pairs, texts, similarity, weights))
-    grouped = cut_lineage(blocked(met, texts, similarity, weights))
-    links = paired.unionAll(grouped.where(F.col("id") != F.col("label")).select(F.col("id").alias("a"), F.col("label").alias("b")))
-    ends = paired.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("long").alias("n")).unionAll(grouped.select("id", "n"))
-    degree = ends.groupBy("id").agg(F.sum("n").alias("n_links"))
-    owners = keyed.groupBy("id").agg(F.min("doc_id").alias("owner"))
-    joined = owners.join(components(links), "id", "left").join(degree, "id", "left").select(
-        "id", "owner", F.coalesce("label", "id").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
-    joined = cut_lineage(joined)
+def text_ids(docs: DataFrame) -> DataFrame:
+    """docs with id: a hash of the text, another one for a text that shares it with a text of lesser second hash."""
+    text = whole_text()
+    both = docs.select(F.xxhash64(text).alias("__one"), F.xxhash64(F.lit(1), text).alias("__two"))
+    clash = cut_lineage(both.groupBy("__one").agg(F.min("__two").alias("__least"), F.max("__two").alias("__most")).where(F.col("__least") < F.col("__most")).select("__one", "__least"))
+    if clash.isEmpty():
+        return docs.withColumn("id", F.xxhash64(text))
+    kept = docs.withColumn("__one", F.xxhash64(text)).join(clash, "__one", "left")
+    two = F.xxhash64(F.lit(1), text)
+    return kept.withColumn("id", F.when(F.col("__least") < two, F.xxhash64("__one", two)).otherwise(F.col("__one"))).drop("__one", "__least")
+
+
+def _class_of(links: DataFrame, ids: DataFrame) -> DataFrame:
+    return ids.join(components(links), "id", "left").select(*ids.columns, F.coalesce("label", "id").alias("label"))
+
+
+def text_classes(texts: DataFrame, similarity: float = SIMILARITY, weights: str = "set", n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Links (a, b) whose components are the classes of texts (id, text), a row for each id."""
+    sketched = cut_lineage(sketches(texts, weights, n_bands, rows))
+    found = sketched.select("id", F.explode("buckets").alias("bucket"))
+    centres = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("centre")).where(F.col("n") > 1)
+    met = cut_lineage(found.join(centres, "bucket").select("bucket", "id", "n", "centre"))
+    stars = met.where(F.col("id") != F.col("centre")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    near = cut_lineage(verified(promising(stars, sketched, similarity), texts, similarity, weights))
+
+    known = _class_of(near, met)
+    main = known.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.min_by("label", "id").alias("main"))
+    mixed = cut_lineage(known.join(main.where(F.col("one") < F.col("other")).select("bucket", "main"), "bucket").select("bucket", "id", "n", "label", "main"))
+    small = mixed.where(F.col("n") <= PAIRED).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("id", "label"))).alias("at"))
+    rest = F.slice("at", F.lit(2), F.size("at"))  # all are compared with the first already
+    pairs = small.select(F.explode(rest).alias("x"), rest.alias("at")).select(
+        F.col("x.id").alias("a"), F.explode(F.filter("at", lambda y: (y["id"] > F.col("x.id")) & (y["label"] != F.col("x.label")))["id"]).alias("b")
+    ).distinct()
+    more = verified(promising(pairs, sketched, similarity), texts, similarity, weights)
+    if not mixed.where(F.col("n") > PAIRED).isEmpty():
+        large = mixed.where(F.col("n") > PAIRED)
+        counts = large.groupBy("bucket").agg(F.sum((F.col("label") == F.col("main")).cast("long")).alias("n_main"))
+        groups = cut_lineage(promising_members(dealt_blocks(large.join(counts, "bucket")), sketched, similarity))
+        more = more.unionAll(linked_members(groups, texts, similarity, weights))
+    return near.unionAll(cut_lineage(more)) if not mixed.isEmpty() else near
+
+
+def classes(docs: DataFrame, **params) -> DataFrame:
+    """id, label, class_id for each distinct text: class_id is the least doc_id of the text's class, label is the same for
+    all texts of a class."""
+    return classes_of_ids(text_ids(docs.select("doc_id", "text")), **params)
+
+
+def classes_of_ids(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "set", n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``classes`` of docs that have the id of their text."""
+    texts = docs.select("id", whole_text().alias("text")).dropDuplicates(["id"])
+    links = text_classes(texts, similarity, weights, n_bands, rows)
+    owners = docs.groupBy("id").agg(F.min(F.col("doc_id").cast("long")).alias("owner"))
+    joined = cut_lineage(_class_of(links, owners))
     least = joined.groupBy("label").agg(F.min("owner").alias("class_id"))
-    return joined.join(least, "label").select("id", "label", "class_id", "n_links")
+    return joined.join(least, "label").select("id", "label", "class_id")
 
 
 def dedup(docs: DataFrame, **params) -> DataFrame:
-    """One row of docs for each class, one of those with its least doc_id; columns as in docs."""
-    named = docs.withColumn("__id", F.xxhash64(whole_text()))
-    known = classes(docs, **params).select(F.col("id").alias("__id"), F.col("label").alias("__label"), F.col("class_id").alias("__class"))
-    first = named.join(known, "__id").where(F.col("doc_id").cast("long").eqNullSafe(F.col("__class")))
-    return first.dropDuplicates(["__label"]).select(*docs.columns)
+    """One row of docs for each class; columns as in docs."""
+    keys = hashable(docs)
+    named = text_ids(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"), F.xxhash64(*keys).alias("h")))
+    known = classes_of_ids(named, **params)
+    first = named.select("id", "row", "h", F.col("doc_id").cast("long").alias("doc")).join(known, "id").where(F.col("doc").eqNullSafe(F.col("class_id")))
+    return first.groupBy("label").agg(F.min_by("row", F.struct("id", "h")).alias("row")).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = docs.select("doc_id", F.xxhash64(whole_text()).alias("id"))
-    return ids.join(classes(docs), "id").select("doc_id", "class_id", "n_links")
+    docs = text_ids(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "id").join(classes_of_ids(docs), "id").select("doc_id", "class_id")

@@ -423,17 +423,56 @@ def boilerplate(seed, edits):
     return rows
 
 
-@pytest.mark.parametrize("edits,weights,block", [([7] * 150 + [3] * 2, "set", 128), ([1] * 40 + [9] * 20, "count", 16)])
-def test_near_dups_of_a_hot_bucket_are_all_compared(spark, monkeypatch, edits, weights, block):
+@pytest.mark.parametrize("edits,weights,block", [([7] * 150 + [3] * 2, "set", 128), ([1] * 40 + [9] * 20, "count", 16), ([7] * 60 + [6] * 60, "set", 16)])
+def test_near_dups_of_a_hot_bucket_lose_no_link(spark, monkeypatch, edits, weights, block):
     monkeypatch.setattr(near_dups, "BLOCK", block)
     rows = boilerplate(3, edits)
-    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
-    n_links = [sum(len(x & y) >= 0.8 * len(x | y) for y in sets) - 1 for x in sets]
     docs = frame(spark, rows)
     ids = docs.select("doc_id", F.xxhash64("text").alias("id"))
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ids.join(near_dups.classes(docs, weights=weights), "id").collect()}
-    assert {(k, rows[k][1]): c for k, (c, _) in got.items()} == plain_classes(rows)
-    assert [got[i][1] for i in range(len(rows))] == n_links
+    got = {r["doc_id"]: r["class_id"] for r in ids.join(near_dups.classes(docs, weights=weights), "id").collect()}
+    assert {(k, rows[k][1]): c for k, c in got.items()} == plain_classes(rows)
+
+
+@pytest.mark.parametrize("shared", [0, 60])
+def test_near_dups_joins_all_planted_pairs(spark, shared):
+    """1,500 pairs of similarity 0.8 to 1, each with the same boilerplate in front or none: every pair ends in a class."""
+    r = random.Random(8)
+    front, rows, alike = [f"b{i}" for i in range(shared)], [], 0
+    for i in range(1500):
+        body = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        other = list(body)
+        for k in r.sample(range(60), r.randrange(1, 3)):
+            other[k] = f"x{r.randrange(10**6)}"
+        sides = [front + body, front + other]
+        sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in sides]
+        rows += [(2 * i + k, " ".join(w)) for k, w in enumerate(sides)]
+        alike += len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+    docs = frame(spark, rows)
+    ids = docs.select("doc_id", F.xxhash64("text").alias("id"))
+    got = {r["doc_id"]: r["class_id"] for r in ids.join(near_dups.classes(docs), "id").collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    want = [i for i in range(1500) if len(sets[2 * i] & sets[2 * i + 1]) >= 0.8 * len(sets[2 * i] | sets[2 * i + 1])]
+    assert len(want) == alike > 300 and all(got[2 * i] == got[2 * i + 1] for i in want)
+    if shared == 0:
+        assert sum(got[2 * i] == got[2 * i + 1] for i in range(1500)) == alike
+
+
+def test_near_dups_with_clashing_names_ties_and_long_texts(spark):
+    long = " ".join(f"w{i * 7919 % 5003}" for i in range(200_000))
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "a b c d e f  g"), (2, long), (3, long + " end"), (None, "z")]
+    docs = frame(spark, rows).select("*", F.lit(1).alias("id"), F.lit("x").alias("row"), F.lit("y").alias("label"), F.lit(2).alias("class_id"), F.lit(3).alias("h"), F.lit(4).alias("doc"))
+    got = near_dups.dedup(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, len(r["text"])) for r in got.collect()) in ([(0, 1), (1, 13), (2, len(long))], [(0, 1), (1, 14), (2, len(long))])
+    assert [r["text"] for r in near_dups.dedup(docs).where("doc_id = 1").collect()] == [r["text"] for r in near_dups.dedup(docs.orderBy(F.desc("text"))).where("doc_id = 1").collect()]
+
+
+def test_text_ids_tell_texts_apart_that_share_a_hash(spark, monkeypatch):
+    real = F.xxhash64
+    monkeypatch.setattr(near_dups.F, "xxhash64", lambda *c: real(*c) if len(c) > 1 else F.length(c[0]).cast("long"))
+    docs = frame(spark, [(1, "ab"), (2, "cd"), (3, "ab"), (4, "abc")])
+    ids = {r["doc_id"]: r["id"] for r in near_dups.text_ids(docs).collect()}
+    assert ids[1] == ids[3] and len({ids[1], ids[2], ids[4]}) == 3
 
 
 def test_block_similarities_equal_pairwise():
