@@ -17,15 +17,16 @@ Equal texts are one class from the start. Bands of ROWS coordinates give buckets
    large group of near copies. Its links make classes.
 2. What is left are pairs that share a bucket and lie in different classes; every one of them is compared, so that no
    link is lost that joins two classes. Buckets of PAIRED members at most give such pairs. The members of a larger bucket
-   are dealt into blocks of about BLOCK, those in the centre's class apart from the rest, and each two blocks, but for two
-   of the centre's class, meet in a bounded group of their own. A pair counts in the first bucket that it shares.
+   are dealt into blocks of about BLOCK texts and BLOCK_BYTES at most, those in the centre's class apart from the rest,
+   and each two blocks, but for two of the centre's class, meet in a bounded group of their own. A pair counts in the first bucket that it shares.
 
 Before texts are sent, signatures are compared whole: two texts of the wanted similarity agree in fewer than ``least_equal``
 of 128 coordinates with a chance below 1e-7. What passes is compared exactly, by shingles. Links make classes by minimum
 labels over rounds that each double their reach.
 
-A bucket whose members are unlike each other is compared by signatures alone, at some 0.1 microseconds a pair; that work
-grows with the square of its distinct texts, spread over its groups.
+A bucket whose members are unlike each other is compared by signatures alone, at some 0.1 microseconds a pair. Where many
+members lie just below the similarity, all their pairs are compared by shingles, as matrices. Both works grow with the
+square of the bucket's distinct texts, but rows only with its blocks, and both are spread over its groups.
 
 Recall: at similarity 0.8, two texts share none of the 32 bands of 4, and are so not compared, with a chance of
 (1 - 0.8^4)^32 = 5e-8.
@@ -53,7 +54,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 LEAST_CELL = -4  # ranks below 2^-3 are one cell
-PAIRED, BLOCK = 32, 128
+PAIRED, BLOCK, BLOCK_BYTES = 32, 512, 8_000_000
 VOCABULARY = 8_192  # columns of a block's matrix at a time
 MOST_DARTS = 12  # of one cell: the chance of more is below 1e-8 for the largest cell that is not split
 
@@ -186,7 +187,7 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / (float(a[1].sum() + b[1].sum()) - both)
 
 
-SKETCH = pa.schema([("id", pa.int64()), ("buckets", pa.list_(pa.int64())), ("coordinates", pa.binary())])
+SKETCH = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("buckets", pa.list_(pa.int64())), ("coordinates", pa.binary())])
 WORDLESS = 0  # the one bucket of texts without words
 
 
@@ -196,22 +197,23 @@ def least_equal(coordinates: int, similarity: float) -> int:
 
 
 def sketches(texts: DataFrame, weights: str = "set", n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, buckets (one for each band, in order), coordinates (16 bits of each) for each of (id, text)."""
+    """id, size (characters), buckets (one for each band, in order), coordinates (16 bits of each) for each of (id, text)."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                sets = [weighted(h, weights) for h in shingle_hashes(part.column(1).to_pylist())]
+                given = part.column(1).to_pylist()
+                sets = [weighted(h, weights) for h in shingle_hashes(given)]
                 sig = signatures([e for e, _ in sets], [w for _, w in sets], n_bands * rows)
                 h = np.tile(mix(np.arange(1, n_bands + 1, dtype=np.uint64) * BASE), (len(sets), 1))
                 for r in range(rows):
                     h = mix((h ^ sig.reshape(-1, n_bands, rows)[:, :, r]) + BASE)
                 short = (sig >> np.uint64(48)).astype("<u2")
                 buckets = [x if len(e) else [WORDLESS] for x, (e, _) in zip(h.view(np.int64).tolist(), sets, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(buckets, pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())], schema=SKETCH)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in given], pa.int64()), pa.array(buckets, pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())], schema=SKETCH)
 
-    return texts.select("id", "text").mapInArrow(run, "id long, buckets array<long>, coordinates binary")
+    return texts.select("id", "text").mapInArrow(run, "id long, size long, buckets array<long>, coordinates binary")
 
 
 def _coordinates(column) -> np.ndarray:
@@ -294,10 +296,11 @@ def group_labels(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def dealt_blocks(large: DataFrame) -> DataFrame:
     """bucket, i, j, id, label, first for the members of each two blocks that may hold links between classes: blocks of
-    the centre's class come before the others, and no two of them meet. large: bucket, id, label, main, n, n_main."""
-    of = lambda n: F.ceil(n / BLOCK).cast("int")
-    n_main, n_rest = of(F.col("n_main")), of(F.col("n") - F.col("n_main"))
+    the centre's class come before the others, and no two of them meet. large: bucket, id, size, label, main."""
     is_main = F.col("label") == F.col("main")
+    needed = lambda these: F.ceil(F.greatest(F.sum(these.cast("int")) / BLOCK, F.sum(F.when(these, F.col("size"))) / BLOCK_BYTES)).cast("int")
+    large = large.join(large.groupBy("bucket").agg(needed(is_main).alias("n_main"), needed(~is_main).alias("n_rest")), "bucket")
+    n_main, n_rest = F.col("n_main"), F.col("n_rest")
     h = F.xxhash64(F.lit(7), "id")
     block = F.when(is_main, F.pmod(h, n_main)).otherwise(n_main + F.pmod(h, n_rest)).cast("int")
     others = F.sequence(F.when(is_main, n_main).otherwise(F.lit(0)), n_main + n_rest - 1)
@@ -340,7 +343,7 @@ def promising_members(groups: DataFrame, sketched: DataFrame, similarity: float)
         has[lo:] |= due.any(axis=0)
         return table.select(["bucket", "i", "j", "id", "label", "first"]).filter(pa.array(has))
 
-    full = groups.join(sketched, "id")
+    full = groups.join(sketched.select("id", "buckets", "coordinates"), "id")
     return full.groupBy("bucket", "i", "j").applyInArrow(run, "bucket long, i int, j int, id long, label long, first boolean")
 
 
@@ -415,8 +418,8 @@ def text_classes(texts: DataFrame, similarity: float = SIMILARITY, weights: str
     more = verified(promising(pairs, sketched, similarity), texts, similarity, weights)
     if not mixed.where(F.col("n") > PAIRED).isEmpty():
         large = mixed.where(F.col("n") > PAIRED)
-        counts = large.groupBy("bucket").agg(F.sum((F.col("label") == F.col("main")).cast("long")).alias("n_main"))
-        groups = cut_lineage(promising_members(dealt_blocks(large.join(counts, "bucket")), sketched, similarity))
+        sized = large.join(sketched.select("id", "size"), "id")
+        groups = cut_lineage(promising_members(dealt_blocks(sized), sketched, similarity))
         more = more.unionAll(linked_members(groups, texts, similarity, weights))
     return near.unionAll(cut_lineage(more)) if not mixed.isEmpty() else near
 
