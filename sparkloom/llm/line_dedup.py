@@ -2,13 +2,15 @@
 
 A line's tokens lie between white space; a token with a digit is a variable field at once. The tree has two fixed
 levels, the number of tokens and the first LEAD tokens, which lead to a leaf. Within a leaf that holds several lines, a
-token further on is constant if more than one distinct line of the leaf has it at that place; other tokens are variable
-fields. A line whose constant tokens, leading ones included, are at least SIMILAR of all belongs to the template of its
+token further on is constant if at least two distinct lines of the leaf, and a share of COMMON of them, have it at that
+place; other tokens are variable fields. As that is a share, a place has 1 / COMMON constants at most, however many lines
+there are, so fields of many values stay variable when the corpus grows. A line whose constant tokens, leading ones included, are at least SIMILAR of all belongs to the template of its
 leaf and constant tokens; any other line is a template of its own. A template met in two documents or more recurs: the
 document with the smallest doc_id keeps its lines, all later ones drop them.
 
 Counting is by two-level aggregation of hashes; lines meet their leaf's constants by joins that can be split where one
-key is hot. Only lines of leaves with several lines are read again for their tokens.
+key is hot. A line that has a share of 1 / RARE of all places is one of RARE at most; where its places meet its keeper,
+they are dealt by SALTS salts. Lines are known by 64-bit hashes. Only lines of leaves with several lines are read again for their tokens.
 
 Edge cases: a null text stays null; blank lines are kept and never count; a line that a document repeats is kept as
 often as it has it, unless it is dropped; repeated rows (one doc_id) keep the same lines; a null doc_id is the last; a
@@ -21,12 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import hashable, whole_text, written
 
 LEAD = 3
 SIMILAR = 0.75
+COMMON = 0.25
+RARE, SALTS = 2_000, 64
 LAST_ID = 2**63 - 1
-_NO_HASH = -7_046_029_254_386_353_131
+LEAST_LONG = -(2**63)
 GAP = r"[ \t\r\f\x0B]+"
 
 
@@ -52,27 +56,37 @@ def _lines(keyed: DataFrame) -> DataFrame:
     )
 
 
-def recurring(keyed: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def _meet(places: DataFrame, gone: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Places and gone by line; those of the RARE lines at most that are very common are dealt by salts."""
+    often = places.count() / RARE
+    hot = F.broadcast(distinct.where(F.col("times") >= F.lit(often)).select("line", F.lit(True).alias("hot")))
+    salted = places.join(hot, "line", "left").withColumn("salt", F.when(F.col("hot"), F.pmod("key", F.lit(SALTS))).otherwise(0))
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return salted.join(gone.join(hot, "line", "left").select("line", "keeper", F.explode(copies).alias("salt")), ["line", "salt"])
+
+
+def recurring(keyed: DataFrame, similar: float = SIMILAR, common: float = COMMON) -> DataFrame:
     """key, drop: places of the lines that each document drops."""
     lines = written(_lines(keyed), "uncompressed")
     distinct = written(lines.groupBy("line").agg(
-        F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("key").alias("key"), F.min_by("pos", "key").alias("pos"), F.min("leaf").alias("leaf"), F.max("n").alias("n")
+        F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("key").alias("key"), F.min_by("pos", "key").alias("pos"), F.min("leaf").alias("leaf"), F.max("n").alias("n"),
+        F.count(F.lit(1)).alias("times"),
     ), "uncompressed")
-    leaves = distinct.where(F.col("n") > LEAD).groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("z"), F.min("first").alias("first"), F.max("last").alias("last"))
-    varied = leaves.where((F.col("a") < F.col("z")) & (F.col("first") < F.col("last"))).select("leaf")
+    leaves = distinct.where(F.col("n") > LEAD).groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("z"), F.min("first").alias("first"), F.max("last").alias("last"), F.count(F.lit(1)).alias("lines"))
+    varied = leaves.where((F.col("a") < F.col("z")) & (F.col("first") < F.col("last"))).select("leaf", "lines")
     wanted = distinct.where(F.col("n") > LEAD).join(varied, "leaf")
-    by_text = wanted.groupBy("key").agg(F.collect_list(F.struct("pos", "leaf", "line")).alias("at"))
-    # The second condition is always true. It keeps all columns in the exchange of the texts, so that the join at the end
-    # of ``marked`` has an equal one and both read the same.
-    hashable = [f.name for f in keyed.schema.fields if f.name != "__doc" and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    every = F.xxhash64(*[F.col(c) for c in hashable], F.size("at")) != F.lit(_NO_HASH)
+    by_text = wanted.groupBy("key").agg(F.collect_list(F.struct("pos", "leaf", "line", "lines")).alias("at"))
+    # The second condition is true of every hash, as none is below the least long. It keeps all columns in the exchange of
+    # the texts, so that the join at the end of ``marked`` has an equal one and both read the same.
+    every = F.xxhash64(*[F.col(c) for c in hashable(keyed.drop("__doc"))], F.size("at")) >= F.lit(LEAST_LONG)
     texts = keyed.join(by_text, (F.col("__key") == F.col("key")) & every).select("key", "at", whole_text().alias("text"))
     texts = texts.groupBy("key").agg(F.first("at").alias("at"), F.first("text").alias("text"))  # rows that are repeated; they lie together already
-    read = texts.withColumn("raw", F.split("text", "\n", -1)).select(F.explode("at").alias("at"), "raw").select("at.leaf", "at.line", _masked(F.get("raw", F.col("at.pos"))).alias("masked"))
-    tokens = read.select("leaf", "line", F.posexplode(F.split("masked", " ")).alias("place", "token")).where((F.col("place") >= LEAD) & (F.col("token") != "<*>"))
-    tokens = tokens.select("line", F.xxhash64("leaf", "place", "token").alias("token"))
-    constant = tokens.groupBy("token").agg(F.min("line").alias("a"), F.max("line").alias("z")).where(F.col("a") < F.col("z")).select("token")
-    shapes = tokens.join(constant, "token").groupBy("line").agg(F.bit_xor("token").alias("shape"), F.count(F.lit(1)).alias("constants"))
+    read = texts.withColumn("raw", F.split("text", "\n", -1)).select(F.explode("at").alias("at"), "raw").select("at.leaf", "at.line", "at.lines", _masked(F.get("raw", F.col("at.pos"))).alias("masked"))
+    tokens = read.select("leaf", "line", "lines", F.posexplode(F.split("masked", " ")).alias("place", "token")).where((F.col("place") >= LEAD) & (F.col("token") != "<*>"))
+    tokens = tokens.select("line", F.xxhash64("leaf", "place", "token").alias("token"), F.col("lines").cast("double").alias("lines"))
+    constant = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("having"), F.max("lines").alias("lines"))
+    constant = constant.where((F.col("having") > 1) & (F.col("having") >= F.lit(common) * F.col("lines"))).select("token")
+    shapes = tokens.select("line", "token").join(constant, "token").groupBy("line").agg(F.bit_xor("token").alias("shape"), F.count(F.lit(1)).alias("constants"))
     known = wanted.select("line", "leaf", "n", "first", "last").join(shapes, "line", "left")
     general = F.coalesce("constants", F.lit(0)) + LEAD >= F.lit(similar) * F.col("n")
     template = F.xxhash64("leaf", F.coalesce("shape", F.lit(0)), F.coalesce("constants", F.lit(0)))
@@ -83,7 +97,7 @@ def recurring(keyed: DataFrame, similar: float = SIMILAR) -> DataFrame:
     alike = known.join(keepers, "template").where((F.col("last") > F.col("keeper")) & (F.col("first") >= F.col("keeper"))).select("line", "keeper")
     equal = distinct.where(F.col("first") < F.col("last")).select("line", F.col("first").alias("keeper"))
     gone = alike.unionAll(equal).groupBy("line").agg(F.min("keeper").alias("keeper"))
-    hits = lines.select("key", "doc", "pos", "line").join(gone, "line").where(F.col("doc") > F.col("keeper"))
+    hits = _meet(lines.select("key", "doc", "pos", "line"), gone, distinct).where(F.col("doc") > F.col("keeper"))
     return hits.groupBy("key").agg(F.collect_set("pos").alias("drop"))
 
 
@@ -129,9 +143,9 @@ m AS (
   FROM l),
 k AS (SELECT *, len(w) AS n, array_to_string(w[1:3], ' ') AS lead, array_to_string(w, ' ') AS line FROM m WHERE w <> ['']),
 g AS (SELECT n, lead, line, any_value(w) AS w, min(doc_id) AS f, max(doc_id) AS z FROM k GROUP BY ALL),
-v AS (SELECT n, lead FROM g GROUP BY ALL HAVING count(*) > 1 AND min(f) < max(z)),
-t AS (SELECT n, lead, line, unnest(w) AS tok, unnest(range(0, len(w))) AS p FROM g JOIN v USING (n, lead) WHERE n > 3),
-c AS (SELECT n, lead, p, tok FROM t WHERE p >= 3 AND tok <> '<*>' GROUP BY ALL HAVING count(*) > 1),
+v AS (SELECT n, lead, count(*) AS lines FROM g GROUP BY ALL HAVING count(*) > 1 AND min(f) < max(z)),
+t AS (SELECT n, lead, line, lines, unnest(w) AS tok, unnest(range(0, len(w))) AS p FROM g JOIN v USING (n, lead) WHERE n > 3),
+c AS (SELECT n, lead, p, tok FROM t WHERE p >= 3 AND tok <> '<*>' GROUP BY n, lead, p, tok HAVING count(*) > 1 AND count(*) >= 0.25 * max(lines)),
 s AS (SELECT n, lead, line, string_agg(p || '=' || tok, ' ' ORDER BY p) AS shape, count(*) AS constants
       FROM t JOIN c USING (n, lead, p, tok) GROUP BY ALL),
 x AS (

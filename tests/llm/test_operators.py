@@ -30,7 +30,7 @@ def plain_line_dedup(rows, lead=3, similar=0.75):
         docs = {d for places in by_line.values() for _, _, d in places}
         seen = collections.Counter((k, w) for t in by_line for k, w in enumerate(t) if k >= lead and w != "<*>") if len(by_line) > 1 and len(docs) > 1 else {}
         for t, places in by_line.items():
-            constant = [(k, w) for k, w in enumerate(t) if k >= lead and seen and seen[k, w] > 1]
+            constant = [(k, w) for k, w in enumerate(t) if k >= lead and seen and seen[k, w] >= max(2, 0.25 * len(by_line))]
             general = len(t) > lead and len(constant) + lead >= similar * len(t)
             groups[leaf, tuple(constant) if general else t, general] += places
     gone = set()
@@ -57,6 +57,27 @@ def test_line_dedup_equals_plain(spark, rows):
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(zip([r[0] for r in rows], want, strict=True), key=str)
 
 
+@pytest.mark.parametrize("copies", [5, 85, 2000])
+def test_line_dedup_keeps_fields_variable_as_copies_grow(spark, copies):
+    r = random.Random(copies)
+    lines = [f"the weekly meeting led by {r.choice('abcdefghijklmnopqrst')}x was moved to the {r.choice('uvwxyzq')}y hall upstairs" for _ in range(copies)]
+    other = ["the weekly meeting of all the staff is off until further notice as ever"]
+    rows = list(enumerate(lines + other))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == plain_line_dedup(rows)
+    kept = sum(got[i] != "" for i in range(copies))
+    assert kept <= 4 and got[copies] == other[0]
+
+
+def test_line_dedup_of_long_texts_and_a_hot_line(spark):
+    r = random.Random(1)
+    long = "\n".join(" ".join(f"w{r.randrange(10**6)}x" for _ in range(12)) for _ in range(20_000))
+    rows = [(i, f"the one line that all have\nown{'abcdefgh'[i % 8]} {i}") for i in range(3000)] + [(9000, long), (9001, long)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    want = plain_line_dedup(rows)
+    assert [got[i] for i, _ in rows] == want and got[9001] == ""
+
+
 def test_line_dedup_drops_templates(spark):
     kept = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, LOG)).collect()}
     assert kept[2] == "something else entirely" and kept[5] == "" and kept[7] == "short\nshort\nlonely" and kept[8] == ""
