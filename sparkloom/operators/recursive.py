@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..session import shared_top
+
+#: Steps whose rows are kept apart before they are written together.
+APART = 32
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names; one of our own only where none is set."""
-    spark: SparkSession = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loom-recursive-"))
+    shared_top(df.sparkSession)  # a local session without a folder gets one
     return df.checkpoint(eager=True)
 
 
@@ -21,14 +22,15 @@ def recursive_union(start: DataFrame, step: Callable[[DataFrame], DataFrame], mo
     numbers of later steps take the start's types."""
     schema = start.schema
     known = new = _cut(start.distinct())
-    for _ in range(most_steps):
+    for i in range(1, most_steps + 1):
         made = step(new)
         made = made.select(*[made[c].cast(f.dataType).alias(f.name) for c, f in zip(made.columns, schema.fields, strict=True)])
         # null-safe: rows that differ in nothing are equal, NULLs included
         fresh = _cut(made.distinct().join(known, [made[f.name].eqNullSafe(known[f.name]) for f in schema.fields], "left_anti"))
         if fresh.isEmpty():
             return known
-        known, new = _cut(known.unionAll(fresh)), fresh
+        known, new = known.unionAll(fresh), fresh
+        known = known if i % APART else _cut(known)
     raise RuntimeError(f"no fixpoint after {most_steps} steps")
 
 

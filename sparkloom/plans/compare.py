@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
+
 #: Types without equality are not compared.
 INCOMPARABLE = (T.MapType, T.VariantType)
+#: Of a digest comparison, by key: few enough to send all their sums to the driver.
+BUCKETS = 256
 
 
 def pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[list[str], list[str]]:
@@ -97,40 +101,80 @@ def canonical(c: Column, kind: T.DataType) -> Column:
     return F.coalesce(text, F.lit("\x00"))
 
 
-def digest(c: Column, kind: T.DataType) -> Column:
-    """The first 16 hex digits of SHA-256."""
-    return F.substring(F.sha2(canonical(c, kind).cast("binary"), 256), 1, 16)
+def _cells(left: DataFrame, right: DataFrame, columns: list[str]) -> tuple[dict[str, Column], dict[str, Column]]:
+    """For each column, what both sides hash: the value itself if both have one type, else its canonical text."""
+    kinds = [{f.name.lower(): f.dataType for f in df.schema.fields} for df in (left, right)]
+    out = ({}, {})
+    for c in columns:
+        a, b = (k[c.lower()] for k in kinds)
+        for cells, kind in zip(out, (a, b), strict=True):
+            cells[c] = canonical(F.col(c), kind) if a != b else F.col(c) + F.lit(0.0).cast(kind) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(c)
+    return out
 
 
-def _digests(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    key = F.sha2(F.concat_ws("\x1f", *[canonical(F.col(k), kinds[k]) for k in keys]).cast("binary"), 256)
-    low = lambda c: F.conv(F.substring(digest(F.col(c), kinds[c]), 9, 8), 16, 10).cast("long")
-    return df.select(*keys, F.substring(key, 1, 16).alias("key_digest"), F.substring(key, 1, 2).alias("bucket"), *[low(c).alias(f"h_{c}") for c in columns])
+def _row_digest(cells: dict[str, Column]) -> Column:
+    """64 bits of a whole row. NULLs don't change a hash, so that their places are hashed as well."""
+    values = list(cells.values())
+    return F.xxhash64(*values, *[v.isNull() for v in values])
 
 
-def bucket_sums(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Level 1: 256 buckets by key digest, with a count and sums of 32-bit digests; exact sums, so order is no matter."""
-    sums = [F.sum(F.col(f"h_{c}").cast("decimal(38,0)")).alias(f"h_{c}") for c in columns]
-    return _digests(df, keys, columns).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring("key_digest", 9, 8), 16, 10).cast("decimal(38,0)")).alias("h_key"), *sums)
+def _digests(df: DataFrame, keys: list[str], key_cells: dict[str, Column], cells: dict[str, Column]) -> DataFrame:
+    """keys, bucket and row digest; rows with a NULL in the key, which equals nothing, are in the last bucket."""
+    null = F.lit(False)
+    for k in keys:
+        null |= F.col(k).isNull()
+    bucket = F.when(null, F.lit(BUCKETS)).otherwise(F.pmod(F.xxhash64(*key_cells.values()), F.lit(BUCKETS))).cast("int")
+    return df.select(*keys, *[c for c in df.columns if c not in keys], bucket.alias("__bucket"), _row_digest({**key_cells, **cells}).alias("__digest"))
 
 
-def digest_diff(left: DataFrame, right: DataFrame, keys: list[str], all_at_once: int = 160) -> DataFrame:
-    """Level 2: keys whose rows differ or are on one side only, read from the buckets that differ; from all of them if
-    more than all_at_once do. status: only_left, only_right or differs; columns: those that differ."""
+def _digested(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str], dict[str, Column], dict[str, Column]]:
     columns, _ = pairs(left, right, keys)
-    a, b = bucket_sums(left, keys, columns), bucket_sums(right, keys, columns)
-    same = a["n"].eqNullSafe(b["n"]) & a["h_key"].eqNullSafe(b["h_key"])
-    for c in columns:
-        same &= a[f"h_{c}"].eqNullSafe(b[f"h_{c}"])
-    odd = [r[0] for r in a.join(b, a["bucket"] == b["bucket"], "full").where(~same).select(F.coalesce(a["bucket"], b["bucket"])).collect()]  # 256 at most
-    x, y = _digests(left, keys, columns), _digests(right, keys, columns)
-    if len(odd) <= all_at_once:
-        x, y = x.where(F.col("bucket").isin(odd)), y.where(F.col("bucket").isin(odd))
-    x = x.select(*keys, "key_digest", F.struct(*[f"h_{c}" for c in columns]).alias("l"))
-    y = y.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("key_digest").alias("other_digest"), F.struct(*[f"h_{c}" for c in columns]).alias("r"))
-    joined = x.join(y, x["key_digest"] == y["other_digest"], "full")
-    changed = F.filter(F.array(*[F.when(F.col(f"l.h_{c}") != F.col(f"r.h_{c}"), F.lit(c)) for c in columns]) if columns else F.array().cast("array<string>"), lambda c: c.isNotNull())
-    status = F.when(F.col("other_digest").isNull(), "only_left").when(F.col("key_digest").isNull(), "only_right").when(F.size(changed) > 0, "differs")
-    out = joined.select(*[F.coalesce(k, f"r_{k}").alias(k) for k in keys], status.alias("status"), F.when(status == "differs", F.array_join(changed, ",")).otherwise("").alias("columns"))
-    return out.where(F.col("status").isNotNull())
+    (a, b), (ka, kb) = _cells(left, right, columns), _cells(left, right, keys)
+    return _digests(left, keys, ka, a), _digests(right, keys, kb, b), columns, a, b
+
+
+def bucket_diff(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Level 1: the buckets (of BUCKETS, by key; the one after them has NULL keys) that differ, and their rows on each
+    side. Row digests are summed and combined by exclusive or, whatever their order. For tables that differ in too much
+    to list, this is the answer that stays small."""
+    a, b = _digested(left, right, keys)[:2]
+
+    def sums(df: DataFrame, side: str) -> DataFrame:
+        return df.groupBy("__bucket").agg(
+            F.count(F.lit(1)).alias(f"n_{side}"), F.bit_xor("__digest").alias(f"x_{side}"), F.sum(F.shiftright("__digest", 32)).alias(f"s_{side}")
+        ).withColumnRenamed("__bucket", f"b_{side}")
+
+    x, y = sums(a, "left"), sums(b, "right")
+    both = x.join(y, F.col("b_left") == F.col("b_right"), "full")
+    same = F.col("n_left").eqNullSafe(F.col("n_right")) & F.col("x_left").eqNullSafe(F.col("x_right")) & F.col("s_left").eqNullSafe(F.col("s_right"))
+    bucket = F.coalesce("b_left", "b_right")
+    return both.where(~same | (bucket == BUCKETS)).select(bucket.alias("bucket"), F.coalesce("n_left", F.lit(0)).alias("n_left"), F.coalesce("n_right", F.lit(0)).alias("n_right"))
+
+
+def digest_diff(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys whose rows differ or are on one side only. status: only_left, only_right or differs; columns: those that
+    differ. NULL keys equal nothing, as in ``keyed_summary``.
+
+    The buckets that differ are found first; of their rows, keys and one digest each meet; columns are compared for the
+    rows alone whose digests differ."""
+    odd = [r["bucket"] for r in bucket_diff(left, right, keys).select("bucket").collect()]  # BUCKETS + 1 at most
+    a, b, columns, cells_a, cells_b = _digested(left, right, keys)
+    if len(odd) <= BUCKETS:
+        a, b = a.where(F.col("__bucket").isin(odd)), b.where(F.col("__bucket").isin(odd))
+    x = a.select(*[F.col(k).alias(f"l_{k}") for k in keys], F.col("__digest").alias("l"))
+    y = b.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("__digest").alias("r"))
+    met = x.join(y, [x[f"l_{k}"] == y[f"r_{k}"] for k in keys], "full")
+    odd_rows = met.where(~F.col("l").eqNullSafe(F.col("r")))
+    status = F.when(F.col("r").isNull(), "only_left").when(F.col("l").isNull(), "only_right").otherwise("differs")
+    found = odd_rows.select(*[F.coalesce(f"l_{k}", f"r_{k}").alias(k) for k in keys], status.alias("status"))
+    if not columns:
+        return found.where("status <> 'differs'").withColumn("columns", F.lit(""))
+    # columns of the rows that differ: these rows are written, so that the planner knows how few they are
+    found = written(found)
+    changed = found.where("status = 'differs'").select(*keys).distinct()
+    cells = lambda df, made, s: df.select(*[F.col(k).alias(f"{s}_{k}") for k in keys], F.struct(*[F.when(c.isNotNull(), F.xxhash64(c)).alias(n) for n, c in made.items()]).alias(s))
+    p, q = cells(left, cells_a, "l"), cells(right, cells_b, "r")
+    both = changed.join(p, [changed[k] == p[f"l_{k}"] for k in keys]).join(q, [changed[k] == q[f"r_{k}"] for k in keys])
+    names = F.array_join(F.filter(F.array(*[F.when(~F.col("l")[c].eqNullSafe(F.col("r")[c]), F.lit(c)) for c in columns]), lambda c: c.isNotNull()), ",")
+    differs = both.select(*[F.col(k) for k in keys], F.lit("differs").alias("status"), names.alias("columns")).where(F.col("columns") != "")
+    return found.where("status <> 'differs'").withColumn("columns", F.lit("")).unionByName(differs)

@@ -81,11 +81,12 @@ def query_head(text: str) -> tuple[str | None, dict[str, str], str]:
     if not m:
         return None, {}, text
     options = {}
-    for part in filter(None, (p.strip() for p in (m[2] or "").split(","))):
+    for part in filter(None, (p.strip() for p in re.split(r",(?![^()]*\))", m[2] or ""))):
         k, eq, v = part.partition("=")
         if not eq:
             raise ValueError(f"not an option: {part}")
-        options[k.strip().lower()] = v.strip().strip("'\"")
+        names = [x.strip().strip("'\"") for x in v.strip().removeprefix("(").removesuffix(")").split(",")]
+        options[k.strip().lower()] = ", ".join(names)
     if bad := set(options) - {"kind", "grain", "time_column", "tags", "lookback"}:
         raise ValueError(f"unknown options {sorted(bad)}")
     return m[1], options, text[m.end() :]
@@ -155,14 +156,34 @@ def create_macros(spark: SparkSession, macros: list[Macro], aliases: dict[str, s
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {m.name}({parameters}) {returns} {m.body}")
 
 
-_WRITES = re.compile(r"^\s*(?:--[^\n]*\n|/\*.*?\*/|\s)*(?:SELECT|WITH|VALUES|FROM|TABLE|\()", re.I | re.S)
+#: Functions that call into the JVM.
+_CALLS_OUT = re.compile(r"\b(?:java_method|reflect|try_reflect)\s*\(", re.I)
 
 
-def read_only(text: str) -> str:
-    """The text if it is one query; anything else is refused."""
-    plain = re.sub(r"'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/", "", text, flags=re.S)
-    if not _WRITES.match(text) or ";" in plain.rstrip().rstrip(";"):
-        raise PermissionError("only a single SELECT may be run here")
-    if re.search(r"\b(INSERT|UPDATE|DELETE|MERGE|DROP|CREATE|ALTER|TRUNCATE|GRANT)\b", plain, re.I):
+def read_only(text: str, spark: SparkSession | None = None) -> str:
+    """The text if Spark parses it as one query; commands, inserts and calls into the JVM are refused."""
+    spark = spark or SparkSession.active()
+    jvm = spark.sparkContext._jvm
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text.rstrip().rstrip(";"))
+    except Exception as e:
+        raise PermissionError("only a single SELECT may be run here") from e
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    forbidden = [jvm.java.lang.Class.forName(logical + n, False, jvm.java.lang.Thread.currentThread().getContextClassLoader()) for n in ("Command", "ParsedStatement")]
+
+    def nodes(p):
+        yield p
+        for kind in ("children", "innerChildren"):
+            for i in range((found := getattr(p, kind)()).size()):
+                if forbidden_or_plan(found.apply(i)):
+                    yield from nodes(found.apply(i))
+
+    def forbidden_or_plan(x) -> bool:
+        return jvm.java.lang.Class.forName(logical + "LogicalPlan", False, jvm.java.lang.Thread.currentThread().getContextClassLoader()).isInstance(x)
+
+    if any(f.isInstance(n) for n in nodes(plan) for f in forbidden):
         raise PermissionError("only a SELECT may be run here")
+    plain = re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/", " ", text, flags=re.S).replace("`", "")
+    if _CALLS_OUT.search(plain):
+        raise PermissionError("calls into the JVM may not be run here")
     return text

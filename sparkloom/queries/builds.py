@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import compare, graph, loads, models, refresh, runner
+from .. import session
 from ..session import Tables
 from ..streaming import windows
 from .registry import Registry
@@ -18,9 +18,7 @@ Q = Registry()
 
 
 def shared_folder(t: Tables) -> str:
-    """A new folder under the one that driver and executors share; a local one only where none is named."""
-    top = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{top.rstrip('/')}/loads-{uuid.uuid4().hex}"
+    return session.shared_folder(t.spark, "loads")
 
 
 def _changed(t: Tables) -> DataFrame:
@@ -268,6 +266,13 @@ def digest_diff(t):
     return compare.digest_diff(*_versions(t), ["o_orderkey"])
 
 
+@Q.frame("r05_digest_diff_null_keys", "WITH l AS (SELECT c_nationkey, c_name, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey END AS k FROM customer), r AS (SELECT c_nationkey, CASE WHEN c_custkey % 10 = 3 THEN c_name || '!' ELSE c_name END AS c_name, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey END AS k FROM customer) SELECT k, 'only_left' AS status, '' AS columns FROM l WHERE k IS NULL UNION ALL SELECT k, 'only_right', '' FROM r WHERE k IS NULL UNION ALL SELECT l.k, 'differs', 'c_name' FROM l JOIN r ON l.k = r.k WHERE l.c_name <> r.c_name")
+def digest_diff_null_keys(t):
+    left = t.customer.select("c_nationkey", "c_name", F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey")).alias("k"))
+    right = t.customer.select("c_nationkey", F.when(F.col("c_custkey") % 10 == 3, F.concat("c_name", F.lit("!"))).otherwise(F.col("c_name")).alias("c_name"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey")).alias("k"))
+    return compare.digest_diff(left, right, ["k"])
+
+
 _AGG = "count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins, quantified, shapes
+from ..session import shared_folder
 from .registry import Registry, use
 
 Q = Registry()
@@ -53,10 +54,7 @@ def _round_trip(form: str):
     def run(t):
         from ..sources import files
 
-        import tempfile
-
-        path = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-files-")
-        path = f"{path}/{form}-{id(t)}"
+        path = shared_folder(t.spark, form)
         source = t.nation
         files.write(source, path, form, mode="overwrite")
         return files.read(t.spark, path, form, source.schema)
@@ -70,11 +68,9 @@ for _form, _id in (("csv", "a10_csv"), ("parquet", "a11_seed_store"), ("json", "
 
 @Q.frame("a15_bulk_sink", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(l_quantity) AS DECIMAL(38,2)) AS q FROM lineitem")
 def bulk_sink(t):
-    import tempfile
-
     from ..sources import files
 
-    path = (t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-bulk-")) + f"/bulk-{id(t)}"
+    path = shared_folder(t.spark, "bulk")
     files.bulk_copy(t.lineitem, path, t.lineitem.schema)
     return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("decimal(38,2)").alias("q"))
 

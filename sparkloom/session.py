@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that fix answers (ANSI arithmetic, zoneless timestamps in UTC) or let Spark re-plan at run time.
@@ -32,6 +35,30 @@ def pin(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_top(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Where it is unset, a local session
+    gets one of its own; a cluster must name one, as its executors don't see the driver's folders."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if top:
+        return top.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loom-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """The path of a new folder there."""
+    return f"{shared_top(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: lineage is cut and its size is known to the planner."""
+    path = shared_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Tables:
     """Tables of a directory of Parquet tables, by attribute; each is also a temporary view for SQL."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.operators import joins, recursive, shapes
-from sparkloom.plans import graph, loads, models, refresh, runner, types
+from sparkloom.plans import compare, graph, loads, models, refresh, runner, types
 from sparkloom.plans.models import Column, Model
 
 EVENTS = "event_id long, event_ts timestamp_ntz, amount decimal(14,2), label string"
@@ -103,9 +103,13 @@ def test_models_and_parameters(spark):
     assert (name, options, body) == ("mart.x", {"kind": "full", "grain": "id"}, "SELECT 1")
     with pytest.raises(ValueError):
         models.bind("SELECT * FROM ${model.t}", {"model": {"t": "x; DROP TABLE y"}}, frozenset({"model.t"}))
-    for text in ("DROP TABLE x", "SELECT 1; DELETE FROM x", "WITH a AS (SELECT 1) INSERT INTO b SELECT * FROM a"):
+    refused = ("DROP TABLE x", "SELECT 1; DELETE FROM x", "WITH a AS (SELECT 1) INSERT INTO b SELECT * FROM a", "SELECT java_method('java.lang.System', 'exit', 0)", "SELECT `reflect`('a', 'b')", "SET x = 1", "FROM a INSERT INTO b SELECT *", "not sql")
+    for text in refused:
         with pytest.raises(PermissionError):
             models.read_only(text)
+    for text in ("SELECT 1 AS `update`", "SELECT 'DROP TABLE x; reflect(1)' AS a -- delete", "WITH a AS (SELECT 1 AS x) SELECT * FROM a;", "VALUES (1)"):
+        assert models.read_only(text) == text
+    assert models.query_head("CREATE TABLE x WITH (kind = full, grain = (a, 'b'), tags = t) AS SELECT 1")[1] == {"kind": "full", "grain": "a, b", "tags": "t"}
     a, b = models.Macro("a", {}, "b()"), models.Macro("b", {}, "a()")
     with pytest.raises(ValueError):
         models.macro_order([a, b])
@@ -185,3 +189,60 @@ def test_lazy_pushdown(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_quantity > 40").select("l_orderkey")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,40.0)" in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def _rows_and_files(table):
+    return sorted(tuple(r) for r in table.read().collect()), set(table.manifest()["parts"])
+
+
+def test_loads_that_break_off_leave_the_table(spark, tmp_path, monkeypatch):
+    table = loads.Table(spark, f"{tmp_path}/t")
+    loads.full_replace(table, spark.range(10).selectExpr("id", "id AS v"))
+    before = _rows_and_files(table)
+    monkeypatch.setattr(loads.Table, "_put", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        loads.merge_by_key(table, spark.range(5).selectExpr("id", "-id AS v"), ["id"])
+    monkeypatch.undo()
+    assert _rows_and_files(loads.Table(spark, f"{tmp_path}/t")) == before
+    one, two = loads.Table(spark, f"{tmp_path}/t"), loads.Table(spark, f"{tmp_path}/t")
+    rows = two.read()
+    loads.merge_by_key(one, spark.range(5).selectExpr("id", "-id AS v"), ["id"])
+    with pytest.raises(loads.Conflict):
+        two.write(rows)
+    assert sorted(r["v"] for r in one.read().collect()) == [-4, -3, -2, -1, 0, 5, 6, 7, 8, 9]
+    assert one.vacuum() > 0 and one.read().count() == 10
+
+
+def test_loads_carry_files_over(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(loads, "CARRIED_FROM", 3)
+    table = loads.Table(spark, f"{tmp_path}/t")
+    loads.full_replace(table, spark.range(0, 1000, 1, 10).selectExpr("id", "id AS v"))
+    files = set(table.manifest()["parts"])
+    assert len(files) == 10
+    loads.merge_by_key(table, spark.range(10).selectExpr("id", "-id AS v"), ["id"])
+    assert len(files & set(table.manifest()["parts"])) == 9
+    loads.delete_insert_by_range(table, spark.createDataFrame([(995, 7)], "id long, v long"), "id", 990, 1000)
+    assert len(files & set(table.manifest()["parts"])) == 8
+    loads.delete_insert_by_key(table, spark.createDataFrame([(5000, 1)], "id long, v long"), ["id"])
+    assert len(files & set(table.manifest()["parts"])) == 8
+    got = {r["id"]: r["v"] for r in table.read().collect()}
+    assert got == {i: -i if i < 10 else i for i in range(990)} | {995: 7, 5000: 1}
+
+
+def test_merge_refuses_two_rows_of_one_key(spark, tmp_path):
+    twice = spark.createDataFrame([(1, 1), (1, 2), (None, 3), (None, 4)], "id long, v long")
+    table = loads.Table(spark, f"{tmp_path}/t")
+    with pytest.raises(ValueError):
+        loads.merge_by_key(table, twice, ["id"])
+    loads.merge_by_key(table, twice.where("v > 1"), ["id"])
+    with pytest.raises(Exception, match="two rows of one key"):
+        loads.merge_by_key(table, twice, ["id"])
+    assert table.read().count() == 3
+
+
+def test_digest_diff_of_types_nulls_and_buckets(spark):
+    left = spark.sql("SELECT * FROM VALUES (1, 1.0D, NULL, 'a'), (2, -0.0D, 'x', NULL), (3, 3.5D, 'y', 'z'), (NULL, 1D, 'q', 'q') AS t(k, d, s, u)")
+    right = spark.sql("SELECT * FROM VALUES (1L, 1.0D, 'a', NULL), (2L, 0.0D, 'x', NULL), (4L, 3.5D, 'y', 'z'), (NULL, 1D, 'q', 'q') AS t(k, d, s, u)")
+    got = sorted(((r["k"], r["status"], r["columns"]) for r in compare.digest_diff(left, right, ["k"]).collect()), key=str)
+    assert got == sorted([(1, "differs", "s,u"), (3, "only_left", ""), (4, "only_right", ""), (None, "only_left", ""), (None, "only_right", "")], key=str)
+    assert compare.bucket_diff(left.dropna(), left.dropna(), ["k"]).count() == 0
