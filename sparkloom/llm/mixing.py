@@ -1,15 +1,19 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Each source's rows are dealt by a hash into blocks of a few hundred documents; block order is the source's
-permutation. A source whose target is r times its size contributes floor(r) whole passes over its blocks and one
-partial pass that ends within the document that reaches the target. The blocks drawn are exact quotas; a binary tree over the
-output shards splits the vector of quotas at each node by a multivariate hypergeometric draw, so that every shard gets
-a random but exact share of each source. Shards take disjoint runs of the permuted blocks and order their documents by
-a hash.
-
-Edge cases: a null text has size 0; a source whose sizes sum to 0 has target 0; repeated rows are separate documents
-with equal hashes (ties are ordered by doc_id, then by text hash); an empty table gives an empty result; extra columns are carried
-through ``mix`` and ignored by ``plan_mix``.
+Each source's rows are dealt by a hash into blocks of a few hundred documents, or a few for a small source; block order is
+the source's permutation. A source whose target is r times its size contributes floor(r) whole passes over its blocks and
+one partial pass that ends within the document that reaches the target. The blocks that the passes draw are counted, and
+these counts are the source's quota; a binary tree over the output shards splits the vector of quotas at each node by a
+multivariate hypergeometric draw, so that every shard gets a random but exact share of each source. Shards take disjoint
+runs of the permuted blocks, all of each quota, and order their documents by a hash.
+
+The driver gathers one row for each source and pass, and holds the table of quotas, sources by shards. A block holds
+about BLOCK_DOCS documents whatever the source's size, so that blocks grow in number and not in size.
+
+Edge cases: a null text has size 0; a source whose sizes sum to 0 has target 0 and draws nothing; repeated rows are
+separate documents with equal hashes (ties are ordered by doc_id, then by text hash); rows equal in doc_id, text and
+source but not in other columns each keep their own; an empty table gives an empty result; extra columns, whatever their
+names, are carried through ``mix`` and ignored by ``plan_mix``.
 """
 
 from __future__ import annotations
@@ -18,13 +22,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, few
+from .common import cut_lineage, few, hashable
 
 WEIGHTS = (5, 2, 1)
 CEILING = 3
 BLOCK_DOCS = 512
-MAX_BLOCKS = 16_384
+#: A source of fewer documents than this many blocks hold has blocks of fewer documents, one at least.
+LEAST_BLOCKS = 64
 SHARD_WORDS = 4_000_000
+#: Shards beyond this number would make the driver's table of quotas large; shards then hold more words each.
 MAX_SHARDS = 4_096
 SEED = 20_240_517
 
@@ -85,7 +91,7 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, ceiling: int = CEILING, shard_wor
     known = []
     for r, s, t in zip(sources, sizes, targets, strict=True):
         passes = min(int(t // s), ceiling) if s else 0
-        known.append((r["source"], s, float(t), passes, float(t - passes * s), max(1, min(-(-r["n"] // BLOCK_DOCS), MAX_BLOCKS))))
+        known.append((r["source"], s, float(t), passes, float(t - passes * s), max(1, -(-r["n"] // BLOCK_DOCS), min(r["n"], LEAST_BLOCKS))))
     facts = spark.createDataFrame(known, "source string, source_size long, target double, passes int, rest double, blocks int")
     dealt = sized.alias("d").join(few(facts, len(known)).alias("f"), F.col("d.source").eqNullSafe(F.col("f.source"))).select(
         "d.doc_id", "d.source", "d.size", "d.row_hash", "d.h", "source_size", "target", "passes", "rest", "blocks",
@@ -103,14 +109,32 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, ceiling: int = CEILING, shard_wor
     placed = placed.withColumn("cut", F.least("size", F.greatest(left, F.lit(0))).cast("long"))
     placed = placed.withColumn("copies", (F.col("passes") + (F.col("cut") > 0).cast("int")).cast("int"))
 
-    total = sum(sizes)
-    shards = max(1, min(-(-total // shard_words), MAX_SHARDS))
-    quotas = np.array([passes * blocks + int(np.ceil(blocks * rest / s)) if s else 0 for _, s, _, passes, rest, blocks in known], dtype=np.int64)
-    ends = np.cumsum(split_quotas(quotas, shards, seed), axis=0) if len(known) else np.zeros((shards, 0), dtype=np.int64)
-    runs = spark.createDataFrame([(k[0], [int(x) for x in ends[:, i]]) for i, k in enumerate(known)], "source string, ends array<long>")
-    shard_of = lambda c: F.least(F.size(F.filter("ends", lambda e: e <= c.cast("long") * F.col("blocks") + F.col("block"))), F.lit(shards - 1))
-    draw = lambda c: F.struct(shard_of(c).cast("int").alias("shard"), F.when(c < F.col("passes"), F.col("size")).otherwise(F.col("cut")).alias("take"))
-    return placed.alias("p").join(few(runs, len(known)).alias("r"), F.col("p.source").eqNullSafe(F.col("r.source"))).select(
+    placed = cut_lineage(placed)
+    used = placed.where("copies > 0").groupBy("source", "block").agg(F.max("copies").alias("copies"))
+    # blocks are drawn pass by pass, each pass in block order; a block without words in the last pass is not drawn
+    passes = used.select("source", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("turn"))
+    drawn = {(r["source"], r["turn"]): r["n"] for r in passes.groupBy("source", "turn").agg(F.count(F.lit(1)).alias("n")).collect()}  # some rows for each source
+    shards = max(1, min(-(-sum(sizes) // shard_words), MAX_SHARDS))
+    quotas = np.array([sum(drawn.get((k[0], c), 0) for c in range(ceiling + 1)) for k in known], dtype=np.int64)
+    split = split_quotas(quotas, shards, seed) if len(known) else np.zeros((shards, 0), dtype=np.int64)
+    ends = np.cumsum(split, axis=0)
+    # where each pass begins in the source's order of draws, and the shards that have blocks with the ends of their runs
+    turns = lambda k: [sum(drawn.get((k, c), 0) for c in range(n)) for n in range(ceiling + 1)]
+    runs = spark.createDataFrame(
+        [(k[0], turns(k[0]), [int(x) for x in np.flatnonzero(split[:, i])], [int(x) for x in ends[split[:, i] > 0, i]]) for i, k in enumerate(known)],
+        "source string, turns array<long>, shards array<int>, ends array<long>",
+    )
+    # a block's place in a pass is its rank among the blocks that the pass draws
+    rank = lambda c: F.col("ranks")[c]
+    by_block = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = used.select("source", "block", F.array(*[F.coalesce(F.sum((F.col("copies") > c).cast("long")).over(by_block), F.lit(0)) for c in range(ceiling + 1)]).alias("ranks"))
+    dealt = ranks.alias("b").join(few(runs, len(known) * (1 + shards)).alias("r"), F.col("b.source").eqNullSafe(F.col("r.source")))
+    place = lambda c: F.col("turns")[c] + rank(c)
+    shard = lambda c: F.col("shards")[_first_above(F.col("ends"), place(c))]
+    blocks = dealt.select("b.source", "block", F.array(*[shard(c) for c in range(ceiling + 1)]).alias("shard_of"))
+    draw = lambda c: F.struct(F.col("shard_of")[c].alias("shard"), F.when(c < F.col("passes"), F.col("size")).otherwise(F.col("cut")).alias("take"))
+    met = placed.alias("p").join(blocks.alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")) & (F.col("p.block") == F.col("b.block")), "left")
+    return met.select(
         "p.doc_id", "row_hash", "p.source", "size", "h", "source_size", "target",
         (F.col("passes") * F.col("size") + F.col("cut")).alias("taken"),
         F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), draw)).otherwise(
@@ -118,6 +142,12 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, ceiling: int = CEILING, shard_wor
     )
 
 
+def _first_above(ends: Column, place: Column) -> Column:
+    """The index of the first of some growing ends that is above a place; NULL if none is."""
+    n = F.size(F.filter(ends, lambda e: e <= place))
+    return F.when(n < F.size(ends), n)
+
+
 def first_words(text: Column, n: Column) -> Column:
     """The text up to its n-th word's end."""
     gap = r"[\x20\x09-\x0D]+"
@@ -131,18 +161,21 @@ def mix(docs: DataFrame, **params) -> DataFrame:
 
     The one document of a source at which its partial pass ends is cut after the last word taken.
     """
-    plan = plan_mix(docs, **params)
-    # repeated rows share (doc_id, row_hash, source): their draws are added up and dealt to one row
-    per_row = plan.groupBy("doc_id", "row_hash", "source").agg(F.flatten(F.collect_list("draws")).alias("__draws"), F.max("size").alias("__size"))
-    slim = docs.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash", "source"])
-    joined = slim.alias("d").join(
-        per_row.alias("q"),
-        F.col("d.doc_id").eqNullSafe(F.col("q.doc_id")) & (F.col("d.__hash") == F.col("q.row_hash")) & F.col("d.source").eqNullSafe(F.col("q.source")),
-    ).select("d.*", "q.__draws", "q.__size")
-    drawn = joined.select(*docs.columns, "__size", F.posexplode("__draws").alias("__copy", "__draw"))
-    drawn = drawn.withColumn("text", F.when(F.col("__draw.take") < F.col("__size"), first_words(F.col("text"), F.col("__draw.take"))).otherwise(F.col("text")))
-    order = F.xxhash64(F.lit(SEED), "doc_id", "__copy")
-    return drawn.repartition(F.col("__draw.shard"), F.pmod(order, F.lit(8))).sortWithinPartitions("__draw.shard", order).select(*docs.columns)
+    sealed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row"), F.xxhash64(*hashable(docs)).alias("whole"))
+    # rows equal in (doc_id, text, source) are dealt their draws in turn; no key is NULL, so that one shuffle does for all
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("k_doc"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("k_source")]
+    same = Window.partitionBy("k_doc", "k_source", "row_hash")
+    plan = plan_mix(sealed, **params).select(*key, "row_hash", "size", "taken", "draws")
+    plan = plan.select("k_doc", "k_source", "row_hash", "size", "draws", F.row_number().over(same.orderBy(F.col("taken").desc(), "draws")).alias("q_turn"))
+    rows = sealed.select(*key, F.xxhash64("text").alias("row_hash"), "row", "doc_id", "text", "whole")
+    rows = rows.withColumn("turn", F.row_number().over(same.orderBy("whole")))
+    met = rows.join(plan, ["k_doc", "k_source", "row_hash"]).where(F.col("turn") - F.col("q_turn") == 0)
+    drawn = met.select("row", "doc_id", "text", "size", F.xxhash64(F.lit(SEED), "doc_id", "turn").alias("own"), F.posexplode("draws").alias("copy", "draw"))
+    text = F.when(F.col("draw.take") < F.col("size"), first_words(F.col("text"), F.col("draw.take"))).otherwise(F.col("text"))
+    order = F.xxhash64("own", "copy")
+    placed = drawn.select("row", text.alias("text"), F.col("draw.shard").alias("shard"), order.alias("order"))
+    placed = placed.repartition(F.col("shard"), F.pmod("order", F.lit(8))).sortWithinPartitions("shard", "order")
+    return placed.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

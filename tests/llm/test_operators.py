@@ -339,7 +339,40 @@ def test_mixing_takes_its_targets(spark, small):
     assert mixed.columns == docs.columns
     got = {r["source"]: r["k"] for r in mixed.groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("k")).collect()}
     assert all(got.get(n, 0) == taken[n] for n in names)
-    assert mixing.plan_mix(frame(spark, [])).count() == 0
+    assert mixing.plan_mix(frame(spark, [])).count() == 0 and mixing.mix(frame(spark, [])).count() == 0
+
+
+def test_mixing_draws_exactly_the_quotas(spark, small, monkeypatch):
+    """Every block and pass goes to one shard, and each shard has the share of each source that the tree gave it."""
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
+    long = frame(spark, [(20_000 + i, "word " * (5000 * (i % 3)), "src_long") for i in range(30)])
+    docs = small.unionByName(long)
+    plan = mixing.plan_mix(docs, shard_words=3_000).collect()
+    n = collections.Counter(r["source"] for r in plan)
+    total = sum(r["size"] for r in plan)
+    shards = -(-total // 3_000)
+    at, targets = collections.defaultdict(set), {r["source"]: (r["target"], r["source_size"]) for r in plan}
+    for r in plan:
+        blocks = max(-(-n[r["source"]] // 4), min(n[r["source"]], mixing.LEAST_BLOCKS))
+        for turn, d in enumerate(r["draws"]):
+            at[r["source"], turn, r["h"] % blocks].add(d["shard"])
+    assert all(len(x) == 1 for x in at.values())
+    names = sorted(targets, key=lambda s: (s is None, s or ""))
+    quotas = [sum(k[0] == name for k in at) for name in names]
+    want = mixing.split_quotas(np.array(quotas), shards)
+    for i, name in enumerate(names):
+        got = collections.Counter(min(x) for k, x in at.items() if k[0] == name)
+        assert [got[j] for j in range(shards)] == want[:, i].tolist()
+    assert max(np.flatnonzero(want.sum(axis=1))) < shards
+
+
+def test_mixing_keeps_rows_apart_whatever_the_names(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (2, "long " * 40_000, "t"), (3, None, "t")]
+    docs = frame(spark, rows).withColumn("row_hash", F.monotonically_increasing_id()).withColumn("draws", F.lit(1)).withColumn("size", F.lit("x")).withColumn("row", F.lit(0))
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns
+    taken = collections.Counter(r["row_hash"] for r in got.where("source = 's'").collect())
+    assert len(taken) == 2 and sum(taken.values()) == 6  # 3 times each, as the target is above all
 
 
 # -- repeated strings ------------------------------------------------------------------------------------------------------------
