@@ -1,10 +1,13 @@
 """Personal data by fixed forms and by bootstrapped contextual extraction, in DataFrame functions only.
 
-Base spans are the leftmost non-overlapping matches of a form for each kind that also pass its check. They are the
-seeds of the bootstrap. Candidates are tokens with digits; the words beside a candidate are its lexical patterns. On
-the graph of patterns and distinct candidates, a pattern's confidence is the mean score of its candidates, and an unseen
-candidate's score is the chance that at least one of its patterns is right, 1 - prod(1 - confidence); seeds stay at 1.
-After a few rounds, candidates of confident patterns are added as spans of kind ``context``.
+Base spans are the leftmost non-overlapping matches of a form for each kind that also pass its check. Every one of them,
+whatever its characters, is a seed of the bootstrap. Candidates are the tokens outside base spans that look like an
+identifier: MIN_LENGTH characters or more with a digit, an at sign or an underscore. The nearest words on both sides of a
+seed or candidate, at any distance, are its lexical patterns. On the graph of patterns and distinct instances, a pattern's
+confidence is the mean score of its instances, and an unseen candidate's score is the chance that at least one of its
+confident patterns is right, 1 - prod(1 - confidence); seeds stay at 1. Scores only grow from round to round; rounds end
+when one finds no new candidate and no new confident pattern. Candidates with a high score are added as spans of kind
+``context``.
 
 The forms below are equal in what they match to plainer ones: possessive repeats and look-behinds only keep long runs
 of one kind of character from being tried again and again.
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, whole_text
+from .common import cut_lineage, whole_text, written
 
 # fixed values: the forms of each kind, in the order of kinds
 FORMS = {
@@ -30,11 +33,11 @@ FORMS = {
 }
 #: Texts without this can't have a span of the kind.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+CANDIDATE = r"(?<!\S)[^\s0-9@_]*+[0-9@_]\S*+"
 EDGE = r"\"'()<>\[\]{}|,;:!?.%$&*#"
 BLOCK = 64
-MIN_DIGITS, MIN_LENGTH = 4, 6
-MIN_SEEDS, PATTERN_CONFIDENCE, INSTANCE_SCORE, ROUNDS = 3, 0.6, 0.8, 2
+MIN_LENGTH = 4
+MIN_SEEDS, PATTERN_CONFIDENCE, INSTANCE_SCORE = 3, 0.6, 0.8
 
 
 def _pieces(text: Column, form: str) -> tuple[Column, Column]:
@@ -75,7 +78,7 @@ def _located(df: DataFrame, form: str, out: str, there: Column | None = None) ->
     df = df.withColumn("__s", _starts(F.col("__b"), F.col("__m")))
     span = lambda m, i: F.struct(
         F.get("__s", i).alias("start"), (F.get("__s", i) + F.length(m)).alias("end"), m.alias("match"),
-        F.substring_index(F.get("__b", i), "\n", -1).alias("before"), F.get("__b", i + 1).alias("after"),
+        F.get("__b", i).alias("before"), F.get("__b", i + 1).alias("after"),
     )
     return df.withColumn(out, F.transform("__m", span)).drop("__m", "__b", "__s")
 
@@ -112,7 +115,7 @@ def _passing(kind: str):
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text and, for each kind, an array of (start, end)."""
+    """doc_id, text, seeds (token, patterns) and, for each kind, an array of (start, end)."""
     df = docs.select("doc_id", whole_text().alias("text"))
     for kind, form in FORMS.items():
         there = F.contains("text", F.lit(NEEDS[kind])) if NEEDS[kind] else F.col("text").rlike(r"[0-9](?:[\x20-]?[0-9]){15}")
@@ -120,65 +123,78 @@ def base_spans(docs: DataFrame) -> DataFrame:
             there = F.col("text").rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]")
         df = _located(df, form, "__found", there)
         good = F.filter("__found", _passing(kind))
-        df = df.withColumn(kind, F.transform(good, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end")))).drop("__found")
-    return df
+        df = df.withColumn("__good", good)
+        df = df.withColumn(kind, F.transform("__good", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"))))
+        df = df.withColumn(f"__seeds_{kind}", F.transform("__good", lambda f: F.struct(F.xxhash64(F.lower(f["match"])).alias("token"), _patterns(f).alias("patterns")))).drop("__found", "__good")
+    names = [f"__seeds_{kind}" for kind in FORMS]
+    return df.withColumn("seeds", F.concat(*names)).drop(*names)
 
 
-def _word(text: Column, last: bool) -> Column:
-    """The word next to a candidate, lower-cased, or an empty text."""
-    found = F.regexp_extract(text, r"(\S+)\s*$", 1) if last else F.regexp_extract(text, r"^\s*(\S+)", 1)
-    return F.regexp_replace(F.lower(found), f"^[{EDGE}]+|[{EDGE}]+$", "")
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, f"^[{EDGE}]++|(?<![{EDGE}])[{EDGE}]++$", "")
+
+
+def _patterns(f: Column) -> Column:
+    """The nearest word before and after a match, lower-cased and without signs around it, as far as there are any."""
+    before = F.regexp_extract(f["before"], rf"(?<!\S)([{EDGE}]*+[^\s{EDGE}]\S*+)(?:\s++|$)[\s{EDGE}]*+$", 1)
+    after = F.regexp_extract(f["after"], rf"^[\s{EDGE}]*+(\S++)", 1)
+    left, right = _stripped(F.lower(before)), _stripped(F.lower(after))
+    return F.filter(F.array(F.when(left != "", F.concat(F.lit("<"), left)), F.when(right != "", F.concat(F.lit(">"), right))), lambda p: p.isNotNull())
 
 
 def candidates(df: DataFrame) -> DataFrame:
-    """Adds candidates: array of (start, end, token, seed, patterns) of the tokens with enough digits."""
-    df = _located(df, CANDIDATE, "__found", F.col("text").rlike("[0-9]"))
+    """Adds candidates: array of (start, end, token, patterns) of the tokens that look like identifiers."""
+    df = _located(df, CANDIDATE, "__found", F.col("text").rlike("[0-9@_]"))
     taken = F.concat(*FORMS)
 
     def make(f: Column) -> Column:
-        lead = F.length(F.regexp_extract(f["match"], f"^([{EDGE}]*)", 1))
-        token = F.regexp_replace(f["match"], f"^[{EDGE}]+|[{EDGE}]+$", "")
+        lead = F.length(F.regexp_extract(f["match"], f"^([{EDGE}]*+)", 1))
+        token = _stripped(f["match"])
         start, end = f["start"] + lead, f["start"] + lead + F.length(token)
-        left, right = _word(F.substring(f["before"], F.greatest(F.length(f["before"]) - 200, F.lit(1)), F.lit(201)), True), _word(F.substring(f["after"], 1, 200), False)
-        patterns = F.filter(F.array(F.when(left != "", F.concat(F.lit("<"), left)), F.when(right != "", F.concat(F.lit(">"), right))), lambda p: p.isNotNull())
         return F.struct(
-            start.alias("start"), end.alias("end"), F.xxhash64(token).alias("token"), (F.length(_digits(token)) >= MIN_DIGITS).alias("numeric"),
-            F.exists(taken, lambda b: (b["start"] < end) & (start < b["end"])).alias("seed"), patterns.alias("patterns"),
+            start.alias("start"), end.alias("end"), F.xxhash64(F.lower(token)).alias("token"), _patterns(f).alias("patterns"),
+            F.exists(taken, lambda b: (b["start"] < end) & (start < b["end"])).alias("base"),
         )
 
-    made = F.filter(F.transform("__found", make), lambda c: c["numeric"] & (c["end"] - c["start"] >= MIN_LENGTH))
+    made = F.filter(F.transform("__found", make), lambda c: ~c["base"] & (c["end"] - c["start"] >= MIN_LENGTH))
     return df.withColumn("candidates", made).drop("__found")
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Tokens that confident patterns discover (column token), from rows with an array of candidates."""
-    each = found.select(F.explode("candidates").alias("c")).select("c.token", "c.seed", F.explode("c.patterns").alias("pattern"))
+def bootstrap(found: DataFrame) -> DataFrame:
+    """Tokens that confident patterns discover (column token), from rows with arrays of seeds and candidates."""
+    ends = lambda column, seed: found.select(F.explode(column).alias("c")).select("c.token", F.lit(seed).alias("seed"), F.explode("c.patterns").alias("pattern"))
+    each = ends("seeds", True).unionAll(ends("candidates", False))
     edges = cut_lineage(each.groupBy("pattern", "token").agg(F.max("seed").alias("seed")))
     seeds = edges.groupBy("token").agg(F.max("seed").alias("seed"))
-    scores = seeds.select("token", "seed", F.col("seed").cast("double").alias("score"))
-    for _ in range(rounds):
+    scores, known = cut_lineage(seeds.select("token", "seed", F.col("seed").cast("double").alias("score"))), None
+    while True:
         patterns = edges.join(scores.select("token", "score"), "token").groupBy("pattern").agg(
             F.avg("score").alias("confidence"), F.sum((F.col("score") >= INSTANCE_SCORE).cast("long")).alias("support")
         )
-        good = patterns.where((F.col("confidence") >= PATTERN_CONFIDENCE) & (F.col("support") >= MIN_SEEDS))
+        # as a table its size is known: few patterns are broadcast, many are dealt, and a hot one is then split
+        good = written(patterns.where((F.col("confidence") >= PATTERN_CONFIDENCE) & (F.col("support") >= MIN_SEEDS)).select("pattern", "confidence"))
         wrong = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))))
         reached = edges.join(good, "pattern").groupBy("token").agg(F.round(1 - F.exp(wrong), 9).alias("reached"))
-        scores = seeds.join(reached, "token", "left").select(
+        scores = cut_lineage(scores.select("token", "seed").join(reached, "token", "left").select(
             "token", "seed", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("reached", F.lit(0.0))).alias("score")
-        )
-    return scores.where(~F.col("seed") & (F.col("score") >= INSTANCE_SCORE)).select("token")
+        ))
+        new = scores.where(~F.col("seed") & (F.col("score") >= INSTANCE_SCORE)).select("token")
+        counts = (new.count(), good.count())
+        if counts == known or not counts[1]:
+            return new
+        known = counts
 
 
-def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text) and an array of (start, end) for each kind and for context, a row for each row of docs."""
     found = candidates(base_spans(docs)).withColumn("h", F.xxhash64("text")).drop("text")
     found = cut_lineage(found)
-    tokens = bootstrap(found, rounds)
-    each = found.where(F.size("candidates") > 0).select("doc_id", "h", F.explode("candidates").alias("c")).where(~F.col("c.seed"))
+    tokens = bootstrap(found)
+    each = found.where(F.size("candidates") > 0).select("doc_id", "h", F.explode("candidates").alias("c"))
     each = each.select("doc_id", "h", F.col("c.token").alias("token"), F.col("c.start").alias("start"), F.col("c.end").alias("end")).distinct()
     hits = each.join(tokens, "token").groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("context"))
     key = (F.col("f.doc_id").eqNullSafe(F.col("x.doc_id"))) & (F.col("f.h") == F.col("x.h"))
-    return found.drop("candidates").alias("f").join(hits.alias("x"), key, "left").select(
+    return found.drop("candidates", "seeds").alias("f").join(hits.alias("x"), key, "left").select(
         "f.*", F.coalesce("x.context", F.array().cast("array<struct<start:int,end:int>>")).alias("context")
     )
 

@@ -122,6 +122,48 @@ def test_pii_bootstrap_finds_unseen_identifiers(spark):
     assert pii.personal_data(frame(spark, [])).count() == 0
 
 
+def test_pii_reads_the_nearest_words_at_any_distance(spark):
+    blanks = " " * 250 + "\n" + "*** " * 3000
+    cards = ["4111111111111111", "4012888888881881", "5555555555554444", "3782822463100050"]
+    rows = [(i, f"customer card{blanks}{g}{blanks}expires soon") for i, g in enumerate(cards)] + [(50, f"customer card{blanks}AB-99-1234-77{blanks}expires soon")]
+    found = {r["doc_id"]: r for r in pii.personal_data(frame(spark, rows)).collect()}
+    start = len("customer card") + len(blanks)
+    assert [tuple(s) for s in found[50]["context"]] == [(start, start + 13)]
+
+
+def test_pii_every_base_span_is_a_seed_and_rounds_go_on(spark):
+    """E-mails, cards in groups and numbers induce patterns; what these find induces the next ones."""
+    rows = [(i, f"write to contact {n}@mail.example or visit") for i, n in enumerate("abcdefghij")]
+    rows += [(12 + i, f"paid with visa {c} yesterday") for i, c in enumerate(("4111 1111 1111 1111", "4012-8888-8888-1881", "5555 5555 5555 4444"))]
+    rows += [(20, "write to contact joe_smith or visit"), (21, "paid with visa XX-4411 yesterday")]
+    rows += [(30 + i, f"write to contact user_{i} or visit") for i in range(3)] + [(40 + i, f"login user_{i} accepted") for i in range(3)] + [(50, "login new_one_9 accepted")]
+    rows += [(60, "there is a_b_c between common words"), (61, "in 1984 nothing happened")]
+    found = {r["doc_id"]: [r["context"], t] for r, t in ((r, dict(rows)[r["doc_id"]]) for r in pii.personal_data(frame(spark, rows)).collect())}
+    seen = {k: [t[a:b] for a, b in c] for k, (c, t) in found.items() if c}
+    assert seen[20] == ["joe_smith"] and seen[21] == ["XX-4411"] and seen[30] == ["user_0"]
+    assert seen[50] == ["new_one_9"] and 60 not in seen and 61 not in seen  # found by a pattern that only found ones induce
+
+
+def test_pii_context_precision_and_recall(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("aeioubcdlmnrst") for _ in range(r.randrange(3, 8)))
+    rows, hidden, other = [], set(), 0
+    for i in range(600):
+        text = [word() for _ in range(40)]
+        if i % 3 == 0:
+            token = f"{word()}{r.randrange(10**3)}@{word()}.org" if i % 9 else f"{word()}_{r.randrange(10**5)}"
+            hidden |= set() if i % 9 else {(i, token)}
+            text[20:20] = ["account", "holder", token, "confirmed"]
+        if i % 4 == 0:
+            text[5:5] = ["about", str(r.randrange(1000, 10**6)), word()]
+            other += 1
+        rows.append((i, " ".join(text)))
+    texts = dict(rows)
+    got = {(x["doc_id"], texts[x["doc_id"]][a:b]) for x in pii.personal_data(frame(spark, rows)).collect() for a, b in x["context"]}
+    assert len(hidden) == 67 and other == 150
+    assert len(got & hidden) >= 0.98 * len(hidden) and len(got - hidden) <= 0.02 * len(got)
+
+
 def test_pii_redaction(spark):
     out = pii.redact(frame(spark, [(1, "mail a@b.cd now"), (2, None)])).orderBy("doc_id").collect()
     assert [r["text"] for r in out] == ["mail ██████ now", None]
