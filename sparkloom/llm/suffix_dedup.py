@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by the phrases of prefix-free parsing, exact but for hash collisions.
+"""Exact removal of repeated byte strings by prefix-free parsing and the suffix array of its dictionary.
 
 A byte is removed if a string of LENGTH bytes that covers it also starts in a document with a smaller doc_id.
 
@@ -8,16 +8,19 @@ strings it serves, at most 2 LENGTH - TRIGGER bytes. Both are decided by content
 wherever it stands, but for its ends. The dictionary is the set of distinct phrases, each with the smallest doc_id that
 has it; the parse of a document is its sequence of phrases.
 
-Order. Equal strings have the same trigger, so dictionary suffixes need ordering only among phrases of one trigger.
-First, phrases are ordered by trigger and phrase: a phrase known from a smaller doc_id is removed whole wherever it
-stands. Then, for triggers with several phrases only, the suffixes of these phrases are ordered by their first LENGTH
-bytes, which finds strings that phrases share in part. As only equality within that depth matters here, ranks are taken
-from 80- and 96-bit hashes of the bytes, not from their lexicographic order: no suffix array of the dictionary is built,
-and the parse is never ordered.
+Order. Equal strings have equal triggers, so the dictionary is ordered by parts, a part for each range of trigger hashes.
+Within a part, phrases are sorted by their bytes, and equal ones are one entry; then the suffixes of the entries are
+sorted by their bytes to a depth of LENGTH: the part's suffix array. Neighbours that agree to that depth are one string;
+its smallest doc_id is handed along the parse to all its places. Phrases overlap by LENGTH - 1 bytes, so that every string
+lies within one phrase, and suffixes are never compared beyond their phrase's end: that comparison, across phrases, is
+what a suffix array of the parse is for, and at this depth it has nothing to decide. So none is built.
 
-Exchange. Documents are dealt into groups of some megabytes. Each group sends its distinct phrases (not each of their
-occurrences) to buckets by trigger, as packed columns, and gets back what differs; then the same with suffixes. So a
-passage that a third of all documents share is sent once by each group, and no bucket holds more than its share.
+Hashes only choose triggers, deal phrases to parts and set aside the phrases whose trigger is in one document alone;
+equality is always that of bytes.
+
+Exchange. Documents are dealt into groups of some megabytes. Each group tells the parts its distinct triggers, six bytes
+each, and learns which are in several documents; of these it sends the distinct phrases (not each of their occurrences),
+and gets back which of their strings go. So a passage that a third of all documents share is sent once by each group.
 
 Edge cases: a null or empty text, or one under LENGTH bytes, is kept as it is; repeated rows (one doc_id) do not remove
 each other; a null doc_id is larger than any other; an empty table gives no rows; extra columns are ignored; texts of
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import whole_text
 
 LENGTH, TRIGGER = 50, 20
+WIDEST = 2 * LENGTH - TRIGGER  # bytes of a phrase
+MOST = LENGTH - TRIGGER + 1  # strings of a phrase
 GROUP_BYTES = 8_000_000
 CHUNK_BYTES = 131_072  # hashed at a time: arrays of eight bytes each stay in the cache
 LAST_ID = 2**63 - 1
@@ -139,6 +144,18 @@ def _unplanes(data: bytes | memoryview, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n).reshape(8, n).T).reshape(-1).view("<i8")
 
 
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data has the same bytes from a and from b on, for so many bytes each."""
+    out = np.empty(len(a), bool)
+    for lo in range(0, len(a), 50_000):
+        n = size[lo : lo + 50_000]
+        first = np.cumsum(n) - n
+        step = np.arange(int(n.sum())) - np.repeat(first, n)
+        equal = data[np.repeat(a[lo : lo + 50_000], n) + step] == data[np.repeat(b[lo : lo + 50_000], n) + step]
+        out[lo : lo + 50_000] = np.add.reduceat(equal, first) == n
+    return out
+
+
 class Group:
     """The documents of one group, parsed."""
 
@@ -151,61 +168,65 @@ class Group:
         self.ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
         self.data = np.frombuffer(b"".join(raw), np.uint8)
         del raw, table
-        self.trigger, phrase, self.doc, self.first, self.count = parse(self.data, self.ends)
-        # distinct phrases, each at its first occurrence: documents are in order, so that is the smallest doc_id
-        _, at, inverse = np.unique(_pair(self.trigger, phrase), return_index=True, return_inverse=True)
+        self.trigger, self.phrase, doc, self.first, self.count = parse(self.data, self.ends)
+        self.at = self.order[doc]  # of each occurrence; it grows, as documents are in order
+        # distinct triggers by bucket, and whether several documents of this group have them
+        t, first, inverse = np.unique(self.trigger, return_index=True, return_inverse=True)
+        last = np.empty(len(t), np.int64)
+        last[inverse.reshape(-1)] = np.arange(len(self.trigger))
+        bucket = (t >> _U(32)) % _U(max(buckets, 1))
+        by = np.argsort(bucket, kind="stable")
+        self.several, self.distinct = (self.at[first] < self.at[last])[by], t[by]
+        rank = np.empty(len(t), np.int64)
+        rank[by] = np.arange(len(t))
+        self.kind = rank[inverse.reshape(-1)]  # of each occurrence
+        self.cuts = np.searchsorted(bucket[by], np.arange(buckets + 1).astype(_U))
+        self.buckets = buckets
+
+    def triggers(self):
+        """(bucket, blob) of the distinct triggers."""
+        for b in np.flatnonzero(np.diff(self.cuts)):
+            rows = slice(self.cuts[b], self.cuts[b + 1])
+            yield int(b), np.packbits(self.several[rows]).tobytes() + _six(self.distinct[rows])
+
+    def learn(self, replies: list[tuple[int, bytes]]) -> None:
+        """Takes which triggers are shared, and finds the distinct phrases of these, each at its first occurrence."""
+        shared = np.zeros(len(self.distinct), bool)
+        for b, blob in replies:
+            shared[self.cuts[b] + np.frombuffer(blob, "<u4")] = True
+        self.used = np.flatnonzero(shared[self.kind])
+        size = self.count[self.used] + LENGTH - 1
+        names = _pair(self.trigger[self.used], self.phrase[self.used])
+        _, at, inverse = np.unique(names, return_index=True, return_inverse=True)
+        inverse = inverse.reshape(-1)
+        leader = at[inverse]
+        copies = np.flatnonzero(leader != np.arange(len(leader)))
+        same = size[copies] == size[leader[copies]]
+        same[same] = _same_bytes(self.data, self.first[self.used[copies[same]]], self.first[self.used[leader[copies[same]]]], size[copies[same]])
+        # a phrase that only shares the hash of another is an entry of its own, wherever it occurs
+        odd = copies[~same]
+        inverse[odd] = len(at) + np.arange(len(odd))
+        at = np.append(at, odd)
         # in a bucket, phrases lie as they first occur: the column of doc_ids is in order and takes next to no room
         by_place = np.argsort(at)
-        bucket = (self.trigger[at[by_place]] >> _U(32)) % _U(max(buckets, 1))
-        order = np.argsort(bucket, kind="stable")
-        by_bucket = by_place[order]
-        self.at = at[by_bucket]
+        bucket = (self.trigger[self.used[at[by_place]]] >> _U(32)) % _U(max(self.buckets, 1))
+        by_bucket = by_place[np.argsort(bucket, kind="stable")]
+        self.entry = self.used[at[by_bucket]]  # the first occurrence of each distinct phrase
         rank = np.empty(len(at), np.int64)
         rank[by_bucket] = np.arange(len(at))
-        self.member = rank[inverse.reshape(-1)]  # the distinct phrase of each occurrence
-        self.phrase = phrase[self.at]
-        self.known = self.order[self.doc[self.at]].copy()  # smallest doc_id with the phrase, as far as known
-        self.cuts = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(_U))
+        self.member = rank[inverse]  # the distinct phrase of each used occurrence
+        self.entry_cuts = np.searchsorted((self.trigger[self.entry] >> _U(32)) % _U(max(self.buckets, 1)), np.arange(self.buckets + 1).astype(_U))
 
     def phrases(self):
-        """(bucket, blob) of the distinct phrases."""
-        for b in np.flatnonzero(np.diff(self.cuts)):
-            rows = slice(self.cuts[b], self.cuts[b + 1])
-            yield int(b), _six(self.trigger[self.at[rows]]) + _six(self.phrase[rows]) + _planes(self.known[rows])
+        """(bucket, blob) of the distinct phrases whose triggers are shared."""
+        for b in np.flatnonzero(np.diff(self.entry_cuts)):
+            rows = self.entry[self.entry_cuts[b] : self.entry_cuts[b + 1]]
+            size = self.count[rows] + LENGTH - 1
+            step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            text = self.data[np.repeat(self.first[rows], size) + step]
+            yield int(b), np.array([len(rows)], "<u4").tobytes() + self.count[rows].astype(np.uint8).tobytes() + _six(self.trigger[rows]) + _planes(self.at[rows]) + text.tobytes()
 
-    def learn(self, replies: list[tuple[int, bytes]]) -> np.ndarray:
-        """Takes what the buckets found; returns the distinct phrases whose suffixes are to be ordered."""
-        mixed = []
-        for b, blob in replies:
-            n = len(blob) // 13
-            rows = self.cuts[b] + np.frombuffer(blob, "<u4", n)
-            self.known[rows] = _unplanes(memoryview(blob)[4 * n : 12 * n], n)
-            mixed.append(rows[np.frombuffer(blob, np.uint8, n, 12 * n) > 0])
-        rows = np.concatenate(mixed) if mixed else np.zeros(0, np.int64)
-        rows = rows[np.argsort(self.at[rows])]
-        return rows[self.known[rows] == self.order[self.doc[self.at[rows]]]]
-
-    def suffixes(self, rows: np.ndarray, buckets: int):
-        """Hashes of the strings of these phrases, the bucket order, and the cuts between buckets."""
-        first, count = self.first[self.at[rows]], self.count[self.at[rows]]
-        size = count + LENGTH - 1
-        starts = np.cumsum(size) - size
-        bytes_at = np.repeat(first - starts, size) + np.arange(int(size.sum()))
-        data = self.data[bytes_at]
-        where = np.repeat(starts - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        pieces = []
-        for lo in range(0, len(where), 1_000_000):  # strings by the million
-            w = where[lo : lo + 1_000_000]
-            pieces.append(string_hashes(data[w[0] : w[-1] + LENGTH])[w - w[0]])
-        h = np.concatenate(pieces) if pieces else np.zeros(0, _U)
-        owner = np.repeat(np.arange(len(rows)), count)
-        bucket = (h >> _U(40)) % _U(max(buckets, 1))
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(_U))
-        trigger = (self.trigger[self.at[rows]] >> _U(48)).astype(np.uint16)
-        return h, owner, order, cuts, trigger
-
-    def removed(self, rows: np.ndarray, replies: list[tuple[int, bytes]], buckets: int) -> np.ndarray:
+    def removed(self, replies: list[tuple[int, bytes]]) -> np.ndarray:
         """Whether each byte goes."""
         n = len(self.data)
         edges = np.zeros(n + 1, np.int32)
@@ -214,70 +235,131 @@ class Group:
             nonlocal edges
             edges += np.bincount(first, minlength=n + 1).astype(np.int32) - np.bincount(last, minlength=n + 1).astype(np.int32)
 
-        whole = self.known[self.member] < self.order[self.doc]
+        mask = np.zeros(len(self.entry), np.uint32)
+        for b, blob in replies:
+            m = len(blob) // 8
+            mask[self.entry_cuts[b] + np.frombuffer(blob, "<u4", m)] = np.frombuffer(blob, "<u4", m, 4 * m)
+        later = self.at[self.used] > self.at[self.entry[self.member]]  # a smaller document of this group has the phrase
+        whole = self.used[later]
         cover(self.first[whole], self.first[whole] + self.count[whole] + LENGTH - 1)
-        if replies:
-            h, owner, order, cuts, _ = self.suffixes(rows, buckets)
-            hit = np.zeros(len(h), bool)
-            for b, blob in replies:
-                hit[order[cuts[b] + np.frombuffer(blob, "<u4")]] = True
-            count = self.count[self.at[rows]]
-            begin = np.cumsum(count) - count
-            here = np.full(len(self.at), -1, np.int64)
-            here[rows] = np.arange(len(rows))
-            mine = np.flatnonzero((here[self.member] >= 0) & ~whole)
-            each = here[self.member[mine]]
-            size = count[each]
-            step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            taken = hit[np.repeat(begin[each], size) + step]
-            start = (np.repeat(self.first[mine], size) + step)[taken]
+        bits = np.where(later, 0, mask[self.member])
+        for j in range(MOST):
+            start = self.first[self.used[(bits >> j) & 1 > 0]] + j
             cover(start, start + LENGTH)
         return np.cumsum(edges[:-1]) > 0
 
+    def kept(self, replies: list[tuple[int, bytes]]) -> pa.Table:
+        """A row for each document: what is left of it, and the runs that go."""
+        gone = self.removed(replies)
+        kept, spans, lo, sizes = [], [], 0, []
+        for hi in self.ends.tolist():
+            mask = gone[lo:hi]
+            edge = np.flatnonzero(np.diff(mask, prepend=False, append=False)) if len(mask) else np.zeros(0, np.int64)
+            kept.append(self.data[lo:hi][~mask].tobytes())
+            spans.append(edge.tolist())
+            sizes.append(hi - lo)
+            lo = hi
+        return pa.table({"doc_id": pa.array(self.doc_ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.int64()))})
 
-def order_phrases(table: pa.Table) -> pa.Table:
-    """One bucket: for each sender the phrases known from a smaller doc_id, or whose trigger has several phrases."""
+
+def share_triggers(table: pa.Table) -> pa.Table:
+    """One bucket: for each sender the triggers that several documents have."""
     senders, blobs = table.column("g").to_pylist(), table.column("blob").to_pylist()
-    sizes = np.array([len(b) // 20 for b in blobs])
-    trigger = np.concatenate([_unsix(memoryview(b)[: 6 * n], n) for b, n in zip(blobs, sizes, strict=True)])
-    phrase = np.concatenate([_unsix(memoryview(b)[6 * n : 12 * n], n) for b, n in zip(blobs, sizes, strict=True)])
-    doc = np.concatenate([_unplanes(memoryview(b)[12 * n :], n) for b, n in zip(blobs, sizes, strict=True)])
-    order = np.lexsort((phrase, trigger))
-    t, p = trigger[order], phrase[order]
-    new_t, new_p = np.ones(len(t), bool), np.ones(len(t), bool)
-    new_t[1:] = t[1:] != t[:-1]
-    new_p[1:] = new_t[1:] | (p[1:] != p[:-1])
-    at_p = np.flatnonzero(new_p)
-    least = np.minimum.reduceat(doc[order], at_p)
-    several = np.add.reduceat(new_p.astype(np.int64), np.flatnonzero(new_t)) > 1
-    known, mixed = np.empty(len(t), np.int64), np.empty(len(t), bool)
-    known[order] = least[np.cumsum(new_p) - 1]
-    mixed[order] = several[np.cumsum(new_t) - 1]
-    tell = (known < doc) | mixed
-    out, lo = [], 0
-    for n in sizes:
-        i = np.flatnonzero(tell[lo : lo + n])
-        out.append(i.astype("<u4").tobytes() + _planes(known[lo + i]) + mixed[lo + i].astype(np.uint8).tobytes() if len(i) else None)
-        lo += n
+    sizes = [_trigger_count(len(b)) for b in blobs]
+    trigger = np.concatenate([_unsix(memoryview(b)[-6 * n :], n) for b, n in zip(blobs, sizes, strict=True)])
+    several = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8, -(-n // 8)), count=n) for b, n in zip(blobs, sizes, strict=True)]) > 0
+    order = np.argsort(trigger, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = trigger[order][1:] != trigger[order][:-1]
+    first = np.flatnonzero(new)
+    shared = np.logical_or.reduceat(several[order], first) | (np.diff(np.append(first, len(order))) > 1)
+    tell = np.empty(len(order), bool)
+    tell[order] = shared[np.cumsum(new) - 1]
+    cuts = np.cumsum([0, *sizes])
+    out = [np.flatnonzero(tell[lo:hi]).astype("<u4").tobytes() or None for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
     return _replies(senders, table.column("b").to_pylist(), out)
 
 
-def order_suffixes(table: pa.Table) -> pa.Table:
-    """One bucket: for each sender the strings that also start in a smaller doc_id."""
+def _trigger_count(size: int) -> int:
+    """How many triggers of six bytes and a bit each a blob of this size has."""
+    return size * 8 // 49
+
+
+def _word(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as numbers that order as the bytes do."""
+    w = flat[at].astype(_U)
+    for k in range(1, 8):
+        w = (w << _U(8)) | flat[at + k]
+    return w
+
+
+def dictionary(phrases: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entry of each phrase (rows of bytes, zeros beyond their ends), and one phrase of each entry, in byte order."""
+    words = np.ascontiguousarray(phrases).view(">u8")
+    order = np.lexsort((count, *words.T[::-1]))
+    new = np.ones(len(order), bool)
+    new[1:] = (words[order[1:]] != words[order[:-1]]).any(axis=1) | (count[order[1:]] != count[order[:-1]])
+    entry = np.empty(len(order), np.int64)
+    entry[order] = np.cumsum(new) - 1
+    return entry, order[new]
+
+
+def suffix_array(entries: np.ndarray, row: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of entries from offset on, in the order of their first LENGTH bytes, and where a new string begins in
+    that order. Ties are broken by eight bytes at a time."""
+    flat = np.concatenate([entries.reshape(-1), np.zeros(8, np.uint8)])
+    at = row * entries.shape[1] + offset
+    key = _word(flat, at)
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    for depth in range(8, LENGTH, 8):
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        place = np.flatnonzero(tied)
+        if not len(place):
+            break
+        run, these = np.cumsum(new)[place], order[place]
+        key = _word(flat, at[these] + depth)
+        if depth + 8 > LENGTH:
+            key >>= _U(8 * (depth + 8 - LENGTH))
+        by = np.lexsort((key, run))
+        order[place] = these[by]
+        key = key[by]
+        new[place[1:]] |= (key[1:] != key[:-1]) & (run[1:] == run[:-1])
+    return order, new
+
+
+def order_strings(table: pa.Table) -> pa.Table:
+    """One part of the dictionary: for each sender its phrases with strings that a smaller doc_id has, and which."""
     senders, blobs = table.column("g").to_pylist(), table.column("blob").to_pylist()
-    sizes = np.array([len(b) // 18 for b in blobs])
-    h = np.concatenate([np.frombuffer(b, "<u8", n) for b, n in zip(blobs, sizes, strict=True)])
-    trigger = np.concatenate([np.frombuffer(b, "<u2", n, 8 * n) for b, n in zip(blobs, sizes, strict=True)])
-    doc = np.concatenate([_unplanes(memoryview(b)[10 * n :], n) for b, n in zip(blobs, sizes, strict=True)])
-    order = np.lexsort((trigger, h))
-    new = np.ones(len(h), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (trigger[order][1:] != trigger[order][:-1])
-    least = np.empty(len(h), np.int64)
-    least[order] = np.minimum.reduceat(doc[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-    tell, out, lo = least < doc, [], 0
+    sizes = [int(np.frombuffer(b, "<u4", 1)[0]) for b in blobs]
+    count = np.concatenate([np.frombuffer(b, np.uint8, n, 4) for b, n in zip(blobs, sizes, strict=True)]).astype(np.int64)
+    trigger = np.concatenate([_unsix(memoryview(b)[4 + n : 4 + 7 * n], n) for b, n in zip(blobs, sizes, strict=True)])
+    doc = np.concatenate([_unplanes(memoryview(b)[4 + 7 * n : 4 + 15 * n], n) for b, n in zip(blobs, sizes, strict=True)])
+    text = np.concatenate([np.frombuffer(b, np.uint8, offset=4 + 15 * n) for b, n in zip(blobs, sizes, strict=True)])
+    phrases = np.zeros((len(count), WIDEST), np.uint8)
+    phrases[np.arange(WIDEST) < (count + LENGTH - 1)[:, None]] = text
+    del text
+    entry, leader = dictionary(phrases, count)
+    least = np.full(len(leader), np.iinfo(np.int64).max)
+    np.minimum.at(least, entry, doc)
+    # suffixes are sorted for triggers of several entries; the one entry of another trigger has its own doc_id throughout
+    _, kind, n = np.unique(trigger[leader], return_inverse=True, return_counts=True)
+    mixed_entries = np.flatnonzero(n[kind.reshape(-1)] > 1)
+    known = np.repeat(least[:, None], MOST, axis=1)
+    rows = np.repeat(mixed_entries, count[leader[mixed_entries]])
+    offset = np.arange(len(rows)) - np.repeat(np.cumsum(count[leader[mixed_entries]]) - count[leader[mixed_entries]], count[leader[mixed_entries]])
+    if len(rows):
+        order, new = suffix_array(phrases[leader], rows, offset)
+        smallest = np.minimum.reduceat(least[rows[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
+        known[rows[order], offset[order]] = smallest
+    out, lo = [], 0
     for n in sizes:
-        i = np.flatnonzero(tell[lo : lo + n])
-        out.append(i.astype("<u4").tobytes() if len(i) else None)
+        hit = (known[entry[lo : lo + n]] < doc[lo : lo + n, None]) & (np.arange(MOST) < count[lo : lo + n, None])
+        mask = (hit.astype(np.uint32) << np.arange(MOST, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
+        i = np.flatnonzero(mask)
+        out.append(i.astype("<u4").tobytes() + mask[i].astype("<u4").tobytes() if len(i) else None)
         lo += n
     return _replies(senders, table.column("b").to_pylist(), out)
 
@@ -310,41 +392,27 @@ def dedup_spans(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("__order"), whole_text().alias("text"),
     )
 
-    def send_phrases(table: pa.Table) -> pa.Table:
-        return _sent(table.column("g")[0].as_py(), Group(table, groups).phrases())
+    def send_triggers(table: pa.Table) -> pa.Table:
+        return _sent(table.column("g")[0].as_py(), Group(table, groups).triggers())
 
-    def send_suffixes(left: pa.Table, right: pa.Table) -> pa.Table:
+    def send_phrases(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _sent(0, [])
         group = Group(left, groups)
-        rows = group.learn(_blobs(right, 1))
-        h, owner, order, cuts, trigger = group.suffixes(rows, groups)
-        doc, out = group.known[rows], []
-        for b in np.flatnonzero(np.diff(cuts)):
-            i = order[cuts[b] : cuts[b + 1]]
-            out.append((int(b), h[i].astype("<u8").tobytes() + trigger[owner[i]].astype("<u2").tobytes() + _planes(doc[owner[i]])))
-        return _sent(left.column("g")[0].as_py(), out)
+        group.learn(_blobs(right, 1))
+        return _sent(left.column("g")[0].as_py(), group.phrases())
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({n: pa.array([], t) for n, t in KEPT})
         group = Group(left, groups)
-        rows = group.learn(_blobs(right, 1))
-        gone = group.removed(rows, _blobs(right, 2), groups)
-        kept, spans, lo, sizes = [], [], 0, []
-        for hi in group.ends.tolist():
-            mask = gone[lo:hi]
-            edge = np.flatnonzero(np.diff(mask, prepend=False, append=False)) if len(mask) else np.zeros(0, np.int64)
-            kept.append(group.data[lo:hi][~mask].tobytes())
-            spans.append(edge.tolist())
-            sizes.append(hi - lo)
-            lo = hi
-        return pa.table({"doc_id": pa.array(group.doc_ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.int64()))})
+        group.learn(_blobs(right, 1))
+        return group.kept(_blobs(right, 2))
 
     by_group = dealt.groupBy("g")
-    first = dealt.groupBy("g").applyInArrow(send_phrases, SENT).groupBy("b").applyInArrow(order_phrases, SENT)
+    first = dealt.groupBy("g").applyInArrow(send_triggers, SENT).groupBy("b").applyInArrow(share_triggers, SENT)
     first = first.select("g", F.lit(1).alias("kind"), "b", "blob")
-    second = by_group.cogroup(first.groupBy("g")).applyInArrow(send_suffixes, SENT).groupBy("b").applyInArrow(order_suffixes, SENT)
+    second = by_group.cogroup(first.groupBy("g")).applyInArrow(send_phrases, SENT).groupBy("b").applyInArrow(order_strings, SENT)
     both = first.unionAll(second.select("g", F.lit(2).alias("kind"), "b", "blob"))
     return dealt.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(finish, "doc_id long, n_bytes long, kept binary, spans array<long>")
 

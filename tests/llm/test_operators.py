@@ -455,6 +455,55 @@ def test_suffix_dedup_equals_plain(spark, rows, group_bytes):
     assert sorted(((r["doc_id"], r["n_bytes"], bytes(r["kept"]), r["spans"]) for r in got), key=str) == sorted(((d, *w) for (d, _), w in zip(rows, want, strict=True)), key=str)
 
 
+@pytest.mark.parametrize("bits", [64, 16, 6])
+def test_suffix_dedup_does_not_rest_on_hashes(monkeypatch, bits):
+    """All steps in this process, with hashes cut short: equality is that of bytes."""
+    import pyarrow as pa
+
+    real, cut = suffix_dedup._pair, np.uint64((2**bits - 1) << (64 - bits))
+    monkeypatch.setattr(suffix_dedup, "_pair", lambda a, b: real(a, b) & cut)
+    rows, n = passages(3), 3
+    tables = []
+    for g in range(n):
+        part = rows[g::n]
+        ids = [d for d, _ in part]
+        tables.append(pa.table({"g": pa.array([g] * len(part), pa.int32()), "doc_id": pa.array(ids, pa.int64()), "__order": pa.array([suffix_dedup.LAST_ID if d is None else d for d in ids], pa.int64()), "text": [t for _, t in part]}))
+
+    def exchange(sent, order):
+        back = [[] for _ in range(n)]
+        for b in range(n):
+            mine = [(g, blob) for g, made in enumerate(sent) for to, blob in made if to == b]
+            if mine:
+                reply = order(pa.table({"g": pa.array([g for g, _ in mine], pa.int32()), "b": pa.array([b] * len(mine), pa.int32()), "blob": pa.array([x for _, x in mine], pa.binary())}))
+                for g, blob in zip(reply.column("g").to_pylist(), reply.column("blob").to_pylist(), strict=True):
+                    back[g].append((b, blob))
+        return back
+
+    groups = [suffix_dedup.Group(t, n) for t in tables]
+    for group, reply in zip(groups, exchange([list(x.triggers()) for x in groups], suffix_dedup.share_triggers), strict=True):
+        group.learn(reply)
+    replies = exchange([list(x.phrases()) for x in groups], suffix_dedup.order_strings)
+    got = [r for group, reply in zip(groups, replies, strict=True) for r in group.kept(reply).to_pylist()]
+    want = plain_suffix_dedup(rows)
+    assert sorted(((r["doc_id"], r["n_bytes"], r["kept"], r["spans"]) for r in got), key=str) == sorted(((d, *w) for (d, _), w in zip(rows, want, strict=True)), key=str)
+
+
+def test_suffix_array_is_in_byte_order():
+    r = np.random.default_rng(3)
+    entries = r.integers(97, 99, (40, suffix_dedup.WIDEST)).astype(np.uint8)
+    row, offset = np.repeat(np.arange(40), suffix_dedup.MOST), np.tile(np.arange(suffix_dedup.MOST), 40)
+    order, new = suffix_dedup.suffix_array(entries, row, offset)
+    strings = [entries[i, j : j + 50].tobytes() for i, j in zip(row, offset, strict=True)]
+    assert [strings[i] for i in order] == sorted(strings) and new.sum() == len(set(strings))
+
+
+def test_suffix_dedup_of_long_texts(spark):
+    r = random.Random(2)
+    long = "".join(r.choice("abcdefgh ") for _ in range(1_000_000))
+    got = {x["doc_id"]: (len(x["kept"]), list(x["spans"])) for x in suffix_dedup.dedup_spans(frame(spark, [(1, long), (2, "x" + long[200_000:700_000] + "y")])).collect()}
+    assert got == {1: (1_000_000, []), 2: (2, [1, 500_001])}
+
+
 # -- near duplicates ---------------------------------------------------------------------------------------------------------------
 def plain_classes(rows, similarity=0.8):
     sets = {}
