@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-A text's features are the distinct hashed n-grams (n = 4 and 5, lower-cased UTF-8 bytes) it has. Each is scaled by
-log((p_j / |p|) / (q_j / |q|)), where p and q are smoothed counts of texts of either label; a text's vector is brought
-to unit length; logistic regression with a small L2 penalty is fitted to those vectors.
+A text's features are its hashed n-grams (n = 4 and 5, lower-cased UTF-8 bytes), each with the binary logarithm of one
+more than its count, so that a form that a text repeats counts for more than one it has once. Each is scaled by
+log((p_j / |p|) / (q_j / |q|)), where p and q are smoothed sums of these over texts of either label; a text's vector is
+brought to unit length; logistic regression with a small L2 penalty is fitted to those vectors.
 
 The classifier is fitted on at most ``max_rows`` labelled rows, those with the smallest hashes of doc_id. Every text is
 scored whole. Labels, lang, source and doc_id are never inputs of a score.
@@ -31,17 +32,19 @@ SEED = 71
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """Whether the row is kept out of training; a row without doc_id is not, but is never a labelled one."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 class NGrams:
-    """Distinct n-gram buckets of a text, without sorting: each bucket remembers where it was last seen."""
+    """Distinct n-gram buckets of a text and log2(1 + count) of each, without sorting: each bucket remembers where it was
+    last seen."""
 
     def __init__(self, bits: int = BUCKET_BITS, sizes: tuple[int, ...] = SIZES):
         self.bits, self.sizes = bits, sizes
         self.last = np.zeros(1 << bits, np.int32)
 
-    def __call__(self, text: str) -> np.ndarray:
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         data = np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
         found = []
         for n in self.sizes:
@@ -55,11 +58,12 @@ class NGrams:
             h *= np.uint64(0x9E3779B97F4A7C15)
             found.append((h >> np.uint64(64 - self.bits)).astype(np.int32))
         if not found:
-            return np.zeros(0, np.int32)
+            return np.zeros(0, np.int32), np.zeros(0, np.float32)
         buckets = np.concatenate(found)
         order = np.arange(len(buckets), dtype=np.int32)
         self.last[buckets] = order
-        return buckets[self.last[buckets] == order]
+        at = self.last[buckets]
+        return buckets[at == order], np.log2(1 + np.bincount(at, minlength=len(at))[at == order]).astype(np.float32)
 
 
 class Model:
@@ -68,16 +72,16 @@ class Model:
     def __init__(self, weights: np.ndarray, squares: np.ndarray, intercept: float):
         self.weights, self.squares, self.intercept = weights.astype(np.float32), squares.astype(np.float32), float(intercept)
 
-    def score(self, buckets: np.ndarray) -> float:
-        z = self.intercept
+    def score(self, features: tuple[np.ndarray, np.ndarray]) -> float:
+        z, (buckets, amount) = self.intercept, features
         if len(buckets):
-            length = float(self.squares[buckets].sum(dtype=np.float64)) ** 0.5
+            length = float((self.squares[buckets] * amount**2).sum(dtype=np.float64)) ** 0.5
             if length > 1e-6:
-                z += float(self.weights[buckets].sum(dtype=np.float64)) / length
+                z += float((self.weights[buckets] * amount).sum(dtype=np.float64)) / length
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(texts: list[str], labels: np.ndarray, bits: int = BUCKET_BITS, rounds: int = 40, smooth: float = 1.0, least: int = 3, penalty: float = 1e-5) -> Model:
+def fit(texts: list[str], labels: np.ndarray, bits: int = BUCKET_BITS, rounds: int = 40, smooth: float = 1.0, least: int = 3, penalty: float = 1e-5, rate: float = 3.0) -> Model:
     width = 1 << bits
     y = np.asarray(labels, np.float64)
     share = float(y.mean()) if len(y) else 0.0
@@ -88,24 +92,24 @@ def fit(texts: list[str], labels: np.ndarray, bits: int = BUCKET_BITS, rounds: i
     p, q, seen = np.full(width, smooth), np.full(width, smooth), np.zeros(width)
     for lo in range(0, len(texts), CHUNK):  # bucket, row within the chunk: what is worked on at once stays small
         each = [grams(t) for t in texts[lo : lo + CHUNK]]
-        at, row = np.concatenate(each), np.repeat(np.arange(len(each), dtype=np.int16), [len(x) for x in each])
+        at, amount = (np.concatenate(x) for x in zip(*each, strict=True))
+        row = np.repeat(np.arange(len(each), dtype=np.int16), [len(x) for x, _ in each])
         mine = y[lo : lo + CHUNK][row]
-        p += np.bincount(at, weights=mine, minlength=width)
-        q += np.bincount(at, weights=1 - mine, minlength=width)
+        p += np.bincount(at, weights=mine * amount, minlength=width)
+        q += np.bincount(at, weights=(1 - mine) * amount, minlength=width)
         seen += np.bincount(at, minlength=width)
-        parts.append((slice(lo, lo + len(each)), at, row))
-    ratio = np.log(p / (y.sum() + 2 * smooth)) - np.log(q / ((1 - y).sum() + 2 * smooth))
+        parts.append((slice(lo, lo + len(each)), at, row, amount))
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     ratio[seen < least] = 0
-    values = []
-    for rows, at, row in parts:
-        value = ratio[at].astype(np.float32)
+    for rows, at, row, value in parts:  # amounts become values where they are
+        value *= ratio[at].astype(np.float32)
         length = np.sqrt(np.bincount(row, weights=value.astype(np.float64) ** 2, minlength=len(y[rows])) + 1e-9)
-        values.append(value / length[row].astype(np.float32))
+        value /= length[row].astype(np.float32)
     w, b = np.zeros(width), float(np.log(share / (1 - share)))
-    m, v, mb, vb, rate = np.zeros(width), np.zeros(width), 0.0, 0.0, 0.1
+    m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for k in range(1, rounds + 1):  # gradient steps with adaptive moments
         gw, gb = penalty * w, 0.0
-        for (rows, at, row), value in zip(parts, values, strict=True):
+        for rows, at, row, value in parts:
             z = np.bincount(row, weights=value * w[at], minlength=len(y[rows])) + b
             g = (1 / (1 + np.exp(-z)) - y[rows]) / len(y)
             gw += np.bincount(at, weights=g[row] * value, minlength=width)
@@ -125,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     ids = chosen.collect()
     local = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["y"])) for r in ids], "doc_id long, y int")
     rows = docs.select("doc_id", whole_text().alias("text")).join(few(local, len(ids)), "doc_id").select("doc_id", "text", "y")
-    rows = rows.dropDuplicates(["doc_id"]).toArrow() if ids else None
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).toArrow() if ids else None
     if rows is None:
         return fit([], np.zeros(0))
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")  # sums in one order: reruns agree
@@ -133,32 +137,29 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     return fit([texts[i] for i in order], y[order])
 
 
-def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score after all others; whole texts go through Arrow once."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def with_scores(rows: DataFrame, model: Model) -> DataFrame:
+    """row and score of each row of (row, text); whole texts go through Arrow once."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         grams = NGrams()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
-            score = pa.array([shared.value.score(grams(t)) for t in texts], pa.float64())
-            kept = [i for i, n in enumerate(batch.schema.names) if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), score], names=[*(batch.schema.names[i] for i in kept), "__score"])
+            score = pa.array([shared.value.score(grams(t)) for t in batch.column(1).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), score], names=["row", "score"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
-    return docs.withColumn("__text", whole_text()).mapInArrow(run, schema)
+    return rows.select("row", "text").mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
-    return with_scores(docs.select("doc_id", "text"), model).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted")
-    )
+    made = with_scores(docs.select(F.struct("doc_id").alias("row"), whole_text().alias("text")), model)
+    return made.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score is below the threshold."""
-    return with_scores(docs, model).where(F.col("__score") < threshold).drop("__score")
+    made = with_scores(docs.select(F.struct(*docs.columns).alias("row"), whole_text().alias("text")), model)
+    return made.where(F.col("score") < threshold).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
