@@ -8,7 +8,7 @@ form one residual stream that is packed greedily: it is laid end to end and cut
 window of the stream is padded.
 
 No task holds more than one partition's rows: a piece's place is a closed form of its rank within its bin, and ranks
-are local ranks plus offsets by partition (one row of counts for each partition is all that reaches the driver).
+are local ranks plus offsets by partition (a table that rows are joined to; only the counts of each bin reach the driver).
 
 Edge cases: a null or empty text is the end id alone; repeated rows are packed as separate documents; an empty table
 gives no pieces; extra columns are ignored; a text of any length is tokenized whole.
@@ -22,10 +22,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, whole_text
+from .common import cut_lineage, whole_text, written
 
 WINDOW = 2048
 GRAIN = 32
@@ -312,29 +312,29 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, grain: int = GRAIN, d
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     rows = cut_lineage(tokenized(docs, path, window, grain))
     bins = window // grain
-    counts = rows.groupBy("part").pivot("bin", list(range(bins))).count().join(
-        rows.groupBy("part").agg(F.sum(F.size("full_crcs")).alias("full"), F.sum((F.length("tail") / 4).cast("long")).alias("tails")), "part"
-    ).orderBy("part").toPandas().fillna(0)
-    parts = counts["part"].to_numpy(dtype=np.int64)
-    table = counts[[str(q) for q in range(bins)]].to_numpy(dtype=np.int64)
-    full, tails = counts["full"].to_numpy(dtype=np.int64), counts["tails"].to_numpy(dtype=np.int64)
-    before = lambda x: np.cumsum(x, axis=0) - x
-    places = Places(table.sum(axis=0), int(full.sum()), int(tails.sum()), window, grain, depth)
-    offsets = rows.sparkSession.sparkContext.broadcast(
-        {int(p): (b, int(f), int(t)) for p, b, f, t in zip(parts, before(table), before(full), before(tails), strict=True)}
-    )
+    upto = lambda c, by: F.coalesce(F.sum(c).over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row for each part and bin, and for each part: counts, and what the parts before hold, by windows over one bin each
+    by_bin = rows.groupBy("part", "bin").agg(F.count(F.lit(1)).alias("n"))
+    by_part = rows.groupBy("part").agg(F.sum(F.size("full_crcs")).alias("full"), F.sum((F.length("tail") / 4).cast("long")).alias("tails"))
+    streams = by_part.select("part", F.explode(F.create_map(F.lit(-1), "full", F.lit(-2), "tails")).alias("bin", "n"))
+    counted = written(by_bin.unionAll(streams.select("part", "bin", "n")).withColumn("before", upto(F.col("n"), ["bin"])))
+    totals = {r["bin"]: int(r["n"]) for r in counted.groupBy("bin").agg(F.sum("n").alias("n")).collect()}  # bins + 2 rows at most
+    places = Places(np.array([totals.get(q, 0) for q in range(bins)], dtype=np.int64), totals.get(-1, 0), totals.get(-2, 0), window, grain, depth)
+    of = lambda q, name: counted.where(F.col("bin") == q).select("part", F.col("before").alias(name))
+    offsets = written(counted.where("bin >= 0").select("part", "bin", F.col("before").alias("bin_offset")).join(of(-1, "full_offset"), "part").join(of(-2, "tail_offset"), "part"))
+    rows = rows.join(offsets, ["part", "bin"])
 
     def place(batches):
         for batch in batches:
             pieces = []
             for r in batch.to_pylist():
-                bin_offset, full_offset, tail_offset = offsets.value[r["part"]]
+                bin_offset, full_offset, tail_offset = r["bin_offset"], r["full_offset"], r["tail_offset"]
                 n, doc, q, start = r["doc_tokens"], r["doc_id"], r["bin"], 0
                 for i, crc in enumerate(r["full_crcs"]):
                     pieces.append((doc, start, window, crc, n, full_offset + r["full_start"] + i, 0))
                     start += window
                 if q:
-                    at, steps = places.body(q, int(bin_offset[q]) + r["bin_rank"]), np.frombuffer(r["body_crcs"], dtype="<u4")
+                    at, steps = places.body(q, bin_offset + r["bin_rank"]), np.frombuffer(r["body_crcs"], dtype="<u4")
                     if isinstance(at, tuple):
                         pieces.append((doc, start, q * grain, int(steps[-1]), n, *at))
                         start += q * grain
