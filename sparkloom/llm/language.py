@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, whole_text
+from .common import cut_lineage, whole_text, written
 
 BITS = 15
 STRONG = 60.0
@@ -131,7 +131,8 @@ def fuse(pages: DataFrame, languages: Languages) -> DataFrame:
     everything = _soft_counts(seen, [], n, "all").first()["all"] or [0.0] * n
     everything = np.array([x or 0.0 for x in everything])
     prior = (everything + 1) / (everything.sum() + n)
-    by_value = lambda key: _soft_counts(seen, [key], n, f"c_{key}").where(F.col(key) != "")
+    # as tables their sizes are known: few values are broadcast, many are dealt, and a hot one is then split
+    by_value = lambda key: written(_soft_counts(seen, [key], n, f"c_{key}").where(F.col(key) != ""))
 
     def table(key: str) -> DataFrame:
         """log P(value | language) by value; the values seen share the smoothing."""
