@@ -243,9 +243,11 @@ class Group:
         whole = self.used[later]
         cover(self.first[whole], self.first[whole] + self.count[whole] + LENGTH - 1)
         bits = np.where(later, 0, mask[self.member])
-        for j in range(MOST):
-            start = self.first[self.used[(bits >> j) & 1 > 0]] + j
-            cover(start, start + LENGTH)
+        some = np.flatnonzero(bits)
+        first, bits = self.first[self.used[some]], bits[some]
+        starts = [first[(bits >> j) & 1 > 0] + j for j in range(MOST)]
+        start = np.concatenate(starts)
+        cover(start, start + LENGTH)
         return np.cumsum(edges[:-1]) > 0
 
     def kept(self, replies: list[tuple[int, bytes]]) -> pa.Table:
