@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder, shared_top
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder the cluster names in spark.checkpoint.dir; name one of our own only where it is unset."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loom-checkpoint-"))
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: later reads survive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_top(df.sparkSession)  # a local session without a folder gets one
     return df.checkpoint(eager=True)
 
 
@@ -44,11 +36,6 @@ def few(df: DataFrame, rows: int, most: int = 20_000) -> DataFrame:
 def written(df: DataFrame, codec: str | None = None) -> DataFrame:
     """df, written as Parquet to a folder that driver and executors share, and read again. Columns of hashes are better
     left uncompressed: they don't shrink, and each reader of a compressed column holds buffers outside the heap."""
-    import uuid
-
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, "table")
     df.write.options(**({"compression": codec} if codec else {})).parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

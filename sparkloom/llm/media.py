@@ -42,8 +42,11 @@ def _decode_bmp(data: bytes) -> np.ndarray:
     if len(data) < 54:
         raise ValueError("BMP header is cut short")
     offset, size, width, height, _, bits, method = struct.unpack_from("<I I i i H H I", data, 10)
-    if method not in (0, 3) or bits not in (8, 24, 32) or width <= 0 or height == 0:
+    if size < 40 or method not in (0, 3) or bits not in (8, 24, 32) or width <= 0 or height == 0:
         raise ValueError("unsupported BMP")
+    # fixed values: masks of red, green and blue in a 32-bit pixel of blue, green, red and a fourth byte
+    if method == 3 and (bits != 32 or len(data) < 66 or struct.unpack_from("<III", data, 54) != (0xFF0000, 0xFF00, 0xFF)):
+        raise ValueError("unsupported BMP: other masks")
     stride, rows = (width * bits // 8 + 3) & ~3, abs(height)
     if len(data) < offset + stride * rows:
         raise ValueError("BMP pixels are cut short")
