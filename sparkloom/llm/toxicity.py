@@ -90,18 +90,19 @@ def fit(texts: list[str], labels: np.ndarray, bits: int = BUCKET_BITS, rounds: i
         return Model(np.zeros(width), np.zeros(width), odds)
     grams, parts = NGrams(bits), []
     p, q, seen = np.full(width, smooth), np.full(width, smooth), np.zeros(width)
-    for lo in range(0, len(texts), CHUNK):  # bucket, row within the chunk: what is worked on at once stays small
+    for lo in range(0, len(texts), CHUNK):  # buckets, how many each text has, amounts: what is worked on at once stays small
         each = [grams(t) for t in texts[lo : lo + CHUNK]]
         at, amount = (np.concatenate(x) for x in zip(*each, strict=True))
-        row = np.repeat(np.arange(len(each), dtype=np.int16), [len(x) for x, _ in each])
-        mine = y[lo : lo + CHUNK][row]
+        sizes = np.array([len(x) for x, _ in each], np.int32)
+        mine = np.repeat(y[lo : lo + CHUNK], sizes)
         p += np.bincount(at, weights=mine * amount, minlength=width)
         q += np.bincount(at, weights=(1 - mine) * amount, minlength=width)
         seen += np.bincount(at, minlength=width)
-        parts.append((slice(lo, lo + len(each)), at, row, amount))
+        parts.append((slice(lo, lo + len(each)), at, sizes, amount))
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     ratio[seen < least] = 0
-    for rows, at, row, value in parts:  # amounts become values where they are
+    for rows, at, sizes, value in parts:  # amounts become values where they are
+        row = np.repeat(np.arange(len(sizes)), sizes)
         value *= ratio[at].astype(np.float32)
         length = np.sqrt(np.bincount(row, weights=value.astype(np.float64) ** 2, minlength=len(y[rows])) + 1e-9)
         value /= length[row].astype(np.float32)
@@ -109,7 +110,8 @@ def fit(texts: list[str], labels: np.ndarray, bits: int = BUCKET_BITS, rounds: i
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for k in range(1, rounds + 1):  # gradient steps with adaptive moments
         gw, gb = penalty * w, 0.0
-        for rows, at, row, value in parts:
+        for rows, at, sizes, value in parts:
+            row = np.repeat(np.arange(len(sizes)), sizes)
             z = np.bincount(row, weights=value * w[at], minlength=len(y[rows])) + b
             g = (1 / (1 + np.exp(-z)) - y[rows]) / len(y)
             gw += np.bincount(at, weights=g[row] * value, minlength=width)
@@ -129,12 +131,23 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     ids = chosen.collect()
     local = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["y"])) for r in ids], "doc_id long, y int")
     rows = docs.select("doc_id", whole_text().alias("text")).join(few(local, len(ids)), "doc_id").select("doc_id", "text", "y")
-    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).toArrow() if ids else None
-    if rows is None:
+    if not ids:
         return fit([], np.zeros(0))
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")  # sums in one order: reruns agree
-    texts, y = rows.column("text").to_pylist(), rows.column("y").to_numpy()
-    return fit([texts[i] for i in order], y[order])
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+
+    def run(batches):
+        batches = list(batches)
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches).sort_by("doc_id")  # sums in one order: reruns agree
+        model = fit(table.column("text").to_pylist(), table.column("y").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.squares.tobytes()]), pa.array([model.intercept])], names=["weights", "squares", "intercept"])
+
+    # the sample is bounded by max_rows: one task fits it, so that no texts reach the driver
+    made = rows.repartition(1).mapInArrow(run, "weights binary, squares binary, intercept double").first()
+    if made is None:  # no labelled document is among docs
+        return fit([], np.zeros(0))
+    return Model(np.frombuffer(made["weights"], np.float32), np.frombuffer(made["squares"], np.float32), made["intercept"])
 
 
 def with_scores(rows: DataFrame, model: Model) -> DataFrame:

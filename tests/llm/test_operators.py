@@ -256,6 +256,11 @@ def test_toxicity_with_clashing_names_ties_and_long_texts(spark):
     assert got[None]["held_out"] is False and 0 <= got[901]["score"] <= 1
 
 
+def test_toxicity_with_labels_of_other_documents(spark):
+    model = toxicity.train(frame(spark, [(1, "a")]), spark.createDataFrame([(50, 1), (51, 0), (53, 1)], "doc_id long, toxic int"))
+    assert [r["predicted"] for r in toxicity.scores(frame(spark, [(1, "a"), (2, None)]), model).collect()] == [0, 0]
+
+
 def test_toxicity_without_labels(spark):
     docs, none = frame(spark, EDGES), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, none)
