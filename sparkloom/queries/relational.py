@@ -46,7 +46,7 @@ def date_series(t):
     return shapes.date_series(t.spark, "2024-01-30", "2024-03-02")
 
 
-Q.sql("a08_unnest", "SELECT vec_id, CAST(pos + 1 AS BIGINT) AS place, x FROM embeddings LATERAL VIEW posexplode(slice(embedding, 1, 3)) e AS pos, x", "SELECT vec_id, unnest(range(1, 4)) AS place, unnest(embedding[1:3]) AS x FROM embeddings")
+Q.sql("a08_unnest", "SELECT vec_id, CAST(pos + 1 AS BIGINT) AS place, x FROM embeddings LATERAL VIEW posexplode(embedding) e AS pos, x", "SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS place, unnest(embedding) AS x FROM embeddings")
 Q.both("a09_cte_scan", "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 300000), c AS (SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey) SELECT a.o_custkey, a.n, b.n AS again FROM c a JOIN c b ON a.o_custkey = b.o_custkey")
 
 
