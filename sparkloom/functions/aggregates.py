@@ -90,3 +90,27 @@ def histogram(df: DataFrame, keys: list[str], x: str) -> DataFrame:
 def string_agg(x: str, separator: str = ",", order: str | None = None) -> Column:
     """Skips NULLs; NULL over none."""
     return F.expr(f"listagg({x}, '{separator}') within group (order by {order or x})")
+
+
+def exact_sum(x: Column) -> Column:
+    """Of doubles below 1e37: whole parts are summed as decimals, so that only the fractions round."""
+    x = x.cast("double")
+    fraction = x % F.lit(1.0)
+    return F.sum((x - fraction).cast("decimal(38,0)")).cast("double") + F.sum(fraction)
+
+
+def exact_avg(x: Column) -> Column:
+    return exact_sum(x) / F.count(x)
+
+
+def bitstring(x: Column, low: int, high: int) -> Column:
+    """A place for each number of the range: 1 if it occurs. State is as large as the range, whatever the rows; a number
+    outside the range is an error."""
+    checked = F.when(x.between(low, high) | x.isNull(), x).otherwise(F.raise_error(F.lit("value is out of the range")).cast("int"))
+    seen = F.collect_set(checked.cast("int"))
+    return F.array_join(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda i: F.array_contains(seen, i).cast("int").cast("string")), "")
+
+
+def approx_top_k(x: str, k: int) -> Column:
+    """The most frequent values, by a bounded sketch."""
+    return F.expr(f"transform(approx_top_k({x}, {k}), e -> e.item)")

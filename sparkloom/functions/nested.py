@@ -62,3 +62,28 @@ def list_sum(a: Column) -> Column:
 def list_slice(a: Column, first: int, last: int) -> Column:
     """Both ends included, from 1."""
     return F.slice(a, first, max(0, last - first + 1))
+
+
+def json_exists(x: Column, path: str) -> Column:
+    """A member that is null exists, and so does its path."""
+    return F.when(x.isNotNull(), F.try_variant_get(F.try_parse_json(x), path, "variant").isNotNull())
+
+
+def json_group_array(x: Column, *order: Column) -> Column:
+    """JSON text of a group's values; NULLs are null."""
+    return F.to_json(collect_with_nulls(x, *order), {"ignoreNullFields": "false"})
+
+
+def json_group_object(k: Column, v: Column) -> Column:
+    """JSON text of a group's pairs by key; keys must not repeat."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k.cast("string").alias("k"), v.alias("v"))))))
+
+
+def map_extract(m: Column, k: Column) -> Column:
+    """A list of the key's value, empty without the key."""
+    return F.when(F.map_contains_key(m, k), F.array(F.try_element_at(m, k))).when(m.isNotNull(), F.array().cast("array<string>"))
+
+
+def subscripts(a: Column) -> Column:
+    """Places of a list, from 1; none of an empty one."""
+    return F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a))).otherwise(F.array().cast("array<int>"))

@@ -159,3 +159,8 @@ def product(values: Column) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def sign_bit(x: Column) -> Column:
+    """Negative zero has it too."""
+    return x.cast("double").cast("string").startswith("-")

@@ -157,3 +157,43 @@ def format_bytes(n: Column) -> Column:
         size = float(1024**power)
         out = F.when(n >= size, F.concat(F.format_string("%.1f", F.floor(n / size * 10) / 10), F.lit(f" {unit}"))).otherwise(out)
     return out
+
+
+def to_base(n: Column, radix: int, least: int = 1) -> Column:
+    """Digits of a number that is not negative, with zeros in front up to a least length."""
+    digits = F.conv(n.cast("string"), 10, radix)
+    return F.when(F.length(digits) >= least, digits).otherwise(F.lpad(digits, least, "0"))
+
+
+def length_grapheme(s: Column) -> Column:
+    """Of characters as a reader sees them, marks and joined emoji included."""
+    return F.regexp_count(s, F.lit(r"\X")).cast("bigint")
+
+
+def left_grapheme(s: Column, n: int) -> Column:
+    return F.array_join(F.slice(F.regexp_extract_all(s, F.lit(r"(\X)"), F.lit(1)), 1, n), "")
+
+
+def parse_path(s: Column) -> Column:
+    """Parts of a path; a leading separator is the first part."""
+    parts = F.filter(F.split(s, r"[/\\]"), lambda p: p != "")
+    return F.when(s.rlike(r"^[/\\]"), F.concat(F.array(F.substring(s, 1, 1)), parts)).otherwise(parts)
+
+
+def dir_name(s: Column) -> Column:
+    """The first part of a path; empty for a bare file name."""
+    return F.when(s.rlike(r"[/\\]"), F.element_at(parse_path(s), 1)).when(s.isNotNull(), F.lit(""))
+
+
+def dir_path(s: Column) -> Column:
+    """All before the last separator."""
+    return F.regexp_extract(s, r"^(.*)[/\\][^/\\]*$", 1)
+
+
+def bar(x: Column, low: float, high: float, width: int = 80) -> Column:
+    """A bar of eighths of blocks, as wide as x's share of the range, filled up with blanks."""
+    share = F.least(F.greatest((x.cast("double") - low) / (high - low), F.lit(0.0)), F.lit(1.0))
+    eighths = F.floor(share * width * 8 + F.lit(0.0)).cast("int")
+    part = F.get(F.array(*[F.lit(p) for p in " ▏▎▍▌▋▊▉"]), eighths % 8)
+    drawn = F.concat(F.repeat(F.lit("█"), F.floor(eighths / 8).cast("int")), F.when(eighths % 8 > 0, part).otherwise(F.lit("")))
+    return F.rpad(drawn, width, " ")

@@ -5,6 +5,9 @@ comparison with one row or one key, not with the set. Equality with ANY and ineq
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,17 +61,30 @@ def row_in(df: DataFrame, columns: list[str], s: DataFrame, name: str, any_null_
         unknown = has_null | (F.coalesce("__partial", F.lit(0)) > 0)
         joined = joined.crossJoin(facts)
     else:
-        fits = [(df[c].isNull() | partial[o].isNull() | (df[c] == partial[o])) for c, o in zip(columns, other, strict=True)]
-        condition = fits[0]
-        for f in fits[1:]:
-            condition &= f
-        open_rows = df.select(*columns).distinct().join(partial, condition, "left_semi").withColumn("__open", F.lit(True))
+        open_rows = _unknown_rows(df.select(*columns).distinct(), columns, partial, other)
         joined = joined.join(open_rows, [joined[c].eqNullSafe(open_rows[c]) for c in columns], "left").select(*[joined[c] for c in joined.columns], "__open").crossJoin(facts)
         unknown = has_null | F.coalesce("__open", F.lit(False))
     result = F.when(F.col("__n") == 0, False).when(F.coalesce("__hit", F.lit(False)), True).when(unknown, F.lit(None).cast("boolean")).otherwise(False)
     return joined.withColumn(name, result).drop("__hit", "__n", "__partial", "__open")
 
 
+def _unknown_rows(rows: DataFrame, columns: list[str], partial: DataFrame, other: list[str]) -> DataFrame:
+    """Rows without a NULL that equal a row of S in all parts that are there in it: an equi-join for each pattern of NULLs,
+    so that nothing is compared row by row. A row of S that is NULL throughout leaves all of them open."""
+    whole = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in columns))
+    found = []
+    for nulls in product((False, True), repeat=len(columns)):
+        if not any(nulls):
+            continue
+        right = partial.where(" AND ".join(f"{o} IS {'' if null else 'NOT '}NULL" for o, null in zip(other, nulls, strict=True)))
+        there = [(c, o) for c, o, null in zip(columns, other, nulls, strict=True) if not null]
+        if there:
+            found.append(whole.join(right, [whole[c] == right[o] for c, o in there], "left_semi"))
+        else:
+            found.append(whole.crossJoin(F.broadcast(right.limit(1).select(F.lit(1).alias("__any")))).select(*columns))
+    return reduce(DataFrame.unionAll, found).distinct().withColumn("__open", F.lit(True))
+
+
 def any_column_null(columns: list[str]) -> Column:
     out = F.col(columns[0]).isNull()
     for c in columns[1:]:

@@ -79,7 +79,7 @@ _REGR = ", ".join(f"round({f}(c_acctbal, c_nationkey), 4) AS {f}" for f in ("cov
 Q.both("e21_regression", f"SELECT c_mktsegment, CAST(regr_count(c_acctbal, c_nationkey) AS BIGINT) AS n, {_REGR} FROM customer GROUP BY c_mktsegment")
 Q.both("e21_regression_sums", "SELECT c_mktsegment, round(regr_sxy(c_acctbal, c_nationkey), 3) AS sxy, round(regr_syy(c_acctbal, c_nationkey) / 1000, 3) AS syy FROM customer GROUP BY c_mktsegment")
 Q.both("e22_bits", "SELECT p_type, bit_and(p_size) AS a, bit_or(p_size) AS o, bit_xor(p_size) AS x FROM part GROUP BY p_type")
-Q.sql("e23_approx_distinct", "SELECT event_type, approx_count_distinct(user_id) AS n FROM events GROUP BY event_type", None)
+Q.sql("e23_approx_distinct", "SELECT event_type, abs(approx_count_distinct(user_id, 0.02) / count(DISTINCT user_id) - 1) < 0.1 AS near, count(DISTINCT user_id) AS n FROM events GROUP BY event_type", "SELECT event_type, true AS near, count(DISTINCT user_id) AS n FROM events GROUP BY event_type")
 Q.sql("e24_arg_max", "SELECT c_mktsegment, max_by(c_custkey, c_acctbal) AS rich, min_by(c_custkey, c_acctbal) AS poor FROM customer GROUP BY c_mktsegment", "SELECT c_mktsegment, arg_max(c_custkey, c_acctbal) AS rich, arg_min(c_custkey, c_acctbal) AS poor FROM customer GROUP BY c_mktsegment")
 
 
@@ -123,7 +123,27 @@ def weighted(t):
 
 
 Q.sql("e27_count_if", "SELECT event_type, count_if(value > 100) AS n FROM events GROUP BY event_type", "SELECT event_type, CAST(count_if(value > 100) AS BIGINT) AS n FROM events GROUP BY event_type")
-Q.sql("e27_approx_quantile", "SELECT event_type, percentile_approx(value, 0.5) AS q FROM events GROUP BY event_type", None)
+Q.sql(
+    "e27_approx_quantile",
+    "SELECT e.event_type, count(*) AS n, abs(count_if(value <= q) / count(value) - 0.5) < 0.01 AS near FROM events e JOIN (SELECT event_type, percentile_approx(value, 0.5, 10000) AS q FROM events GROUP BY event_type) a ON e.event_type = a.event_type GROUP BY e.event_type",
+    "SELECT event_type, count(*) AS n, true AS near FROM events GROUP BY event_type",
+)
+
+
+@Q.frame("e26_exact_sums", "SELECT o_orderstatus, round(fsum(o_totalprice), 4) AS s, round(kahan_sum(-o_totalprice), 4) AS k, round(favg(o_totalprice), 6) AS a FROM orders GROUP BY o_orderstatus")
+def exact_sums(t):
+    x = F.col("o_totalprice")
+    return t.orders.groupBy("o_orderstatus").agg(round_double(A.exact_sum(x), 4).alias("s"), round_double(A.exact_sum(-x), 4).alias("k"), round_double(A.exact_avg(x), 6).alias("a"))
+
+
+@Q.frame("e26_approx_top_k", "SELECT array_to_string(list_sort(approx_top_k(o_orderstatus, 2)), ',') AS top FROM orders")
+def top_k(t):
+    return t.orders.agg(F.array_join(F.array_sort(A.approx_top_k("o_orderstatus", 2)), ",").alias("top"))
+
+
+@Q.frame("e27_bitstring", "SELECT p_brand, CAST(bitstring_agg(p_size, 0, 63) AS VARCHAR) AS bits FROM part GROUP BY p_brand")
+def bitstrings(t):
+    return t.part.groupBy("p_brand").agg(A.bitstring(F.col("p_size"), 0, 63).alias("bits"))
 Q.sql("e28_distinct_aggregates", "SELECT p_brand, sum(DISTINCT CAST(p_size AS BIGINT)) AS s, count(DISTINCT p_type) AS t, avg(DISTINCT p_size) AS a FROM part GROUP BY p_brand", "SELECT p_brand, CAST(sum(DISTINCT p_size) AS BIGINT) AS s, count(DISTINCT p_type) AS t, avg(DISTINCT p_size) AS a FROM part GROUP BY p_brand")
 Q.both("e29_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus) AS BIGINT) AS gs, CAST(grouping(o_orderpriority) AS BIGINT) AS gp FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 Q.both("e29_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")

@@ -167,21 +167,32 @@ def selectors(t):
     return t.spark.createDataFrame([(s, ",".join(sorted(g.select(s)))) for s in ("+mart.orders", "raw.payments+1", "tag:mart,kind:view", "@mart.paid")], "selector string, models string")
 
 
-@Q.frame("p03_lineage", "SELECT * FROM (VALUES ('c_name', 'c_name'), ('total', 'o_totalprice'), ('share', 'c_acctbal,o_totalprice')) AS v(output, inputs)")
+@Q.frame("p03_lineage", "SELECT * FROM (VALUES ('c_name', 'c_name'), ('total', 'o_totalprice'), ('share', 'c_acctbal,o_totalprice'), ('key', 'c_custkey,o_custkey')) AS v(output, inputs)")
 def lineage(t):
     t.views("orders", "customer")
-    df = t.spark.sql("SELECT c_name, sum(o_totalprice) AS total, max(o_totalprice / c_acctbal) AS share FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_name")
+    df = t.spark.sql(
+        "WITH o AS (SELECT * FROM orders), k AS (SELECT o_custkey AS k FROM o UNION ALL SELECT c_custkey FROM customer) "
+        "SELECT c_name, sum(o_totalprice) AS total, max(o_totalprice / c_acctbal) AS share, max(k) AS key FROM o JOIN customer ON o_custkey = c_custkey JOIN k ON k = c_custkey GROUP BY c_name"
+    )
     return t.spark.createDataFrame([(k, ",".join(v)) for k, v in graph.lineage(df).items()], "output string, inputs string")
 
 
-@Q.frame("p04_slice_pushdown", "SELECT * FROM (VALUES ('plain', ''), ('aggregate', 'aggregate_output'), ('limit', 'limit'), ('window', 'window_partition')) AS v(shape, blockers)")
+@Q.frame("p04_slice_pushdown", "SELECT * FROM (VALUES ('plain', ''), ('aggregate', 'aggregate_output'), ('key', ''), ('limit', 'limit'), ('other_side', ''), ('cte', 'aggregate_output,limit'), ('distinct_on', 'distinct_on'), ('distinct', ''), ('union', 'limit'), ('window', 'window_partition'), ('window_value', 'window_output'), ('window_key', '')) AS v(shape, blockers)")
 def slices(t):
     from pyspark.sql import Window
 
+    t.views("orders")
     o = t.orders
     made = {
         "plain": (o.where("o_totalprice > 1"), "o_orderstatus"), "aggregate": (o.groupBy("o_custkey").agg(F.max("o_orderstatus").alias("s")), "s"), "limit": (o.limit(5), "o_orderstatus"),
         "window": (o.select("o_orderstatus", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("rn")), "o_orderstatus"),
+        "window_value": (o.select(F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("rn")), "rn"),
+        "window_key": (o.select("o_custkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("rn")), "o_custkey"),
+        "key": (o.groupBy((F.col("o_custkey") + 1).alias("k")).count(), "k"),
+        "distinct_on": (o.dropDuplicates(["o_custkey"]), "o_orderstatus"), "distinct": (o.select("o_orderstatus", "o_custkey").distinct(), "o_custkey"),
+        "union": (o.select("o_orderstatus").union(o.limit(3).select("o_orderpriority")), "o_orderstatus"),
+        "other_side": (o.join(t.customer.limit(5).select("c_custkey"), F.col("o_custkey") == F.col("c_custkey")), "o_orderstatus"),
+        "cte": (t.spark.sql("WITH a AS (SELECT o_custkey, max(o_totalprice) AS top FROM orders GROUP BY o_custkey), b AS (SELECT top * 2 AS twice FROM a LIMIT 5) SELECT twice FROM b"), "twice"),
     }
     return t.spark.createDataFrame([(k, ",".join(graph.slice_blockers(df, c))) for k, (df, c) in made.items()], "shape string, blockers string")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import arrow as P
 from ..functions import nested as J
 from ..functions import numeric as N
 from ..functions import temporal as D
@@ -47,9 +48,15 @@ E("j21_shift_right", "probe", "id", {"a": (lambda: N.shift_right(c("i").cast("bi
 E("j22_lengths_in_bits", "probe", "id", {"c": (lambda: N.bit_count(c("i"), 32), "CAST(bit_count(i) AS BIGINT)"), "b": (lambda: F.bit_length("s").cast("bigint"), "CAST(bit_length(s) AS BIGINT)"), "o": (lambda: F.octet_length("s").cast("bigint"), "CAST(strlen(s) AS BIGINT)")})
 
 
-@Q.frame("j23_random")
+E("j18_gamma", "part", "p_partkey", {"g": (lambda: N.round_double(P.gamma(c("p_size") / 7 + 0.5), 6), "round(gamma(p_size / 7 + 0.5), 6)"), "l": (lambda: N.round_double(P.lgamma(0.25 - c("p_size")), 6), "round(lgamma(0.25 - p_size), 6)"), "n": (lambda: P.next_after(c("p_retailprice"), c("p_size")), "nextafter(p_retailprice, p_size::DOUBLE)"), "b": (lambda: S.bar(c("p_size"), 0, 50, 20), "bar(p_size, 0, 50, 20)")})
+E("j18_signbit", "probe", "id", {"s": (lambda: N.sign_bit(c("d")), "signbit(d)"), "z": (lambda: N.sign_bit(c("d") * 0), "signbit(d * 0)")})
+
+
+@Q.frame("j23_random", "SELECT count(*) AS n, count(*) AS within, count(DISTINCT o_orderkey) AS ids, true AS even, true AS again, count(*) AS numbers FROM orders")
 def random_values(t):
-    return t.nation.select("n_nationkey", F.rand(5).alias("r"), F.uuid().alias("u"))
+    """Random numbers lie in [0, 1) with a mean near a half and come again with their seed; ids and numbers are distinct."""
+    r = t.orders.select("o_orderkey", F.rand().alias("r"), F.rand(5).alias("a"), F.rand(5).alias("b"), F.uuid().alias("u"), F.monotonically_increasing_id().alias("i"))
+    return r.agg(F.count(F.lit(1)).alias("n"), F.count_if((c("r") >= 0) & (c("r") < 1)).alias("within"), F.count_distinct("u").alias("ids"), (F.abs(F.avg("r") - 0.5) < 0.1).alias("even"), F.every(c("a") == c("b")).alias("again"), F.count_distinct("i").alias("numbers"))
 
 
 E("j25_double_to_int", "probe", "id", {"a": (lambda: N.double_to_int(F.when(F.abs("d") < 1e6, c("d"))), "CAST(CASE WHEN abs(d) < 1e6 THEN d END AS INT)"), "b": (lambda: N.double_to_int(c("d"), "bigint"), "CAST(d AS BIGINT)")})
@@ -154,3 +161,44 @@ Q.sql("m07_maps", "SELECT n_nationkey, map('k', n_name, 'r', CAST(n_regionkey AS
 Q.sql("m08_unnest_flatten", "SELECT n_nationkey, x FROM nation LATERAL VIEW explode(flatten(array(array(n_regionkey, 1), array(n_nationkey)))) e AS x", "SELECT n_nationkey, unnest(flatten([[n_regionkey, 1], [n_nationkey]])) AS x FROM nation")
 Q.sql("m09_json_each", "SELECT event_id, k, v FROM events LATERAL VIEW explode(from_json(props, 'map<string,string>')) e AS k, v", "SELECT event_id, key AS k, CAST(json_each.value AS VARCHAR) AS v FROM events, json_each(props)")
 E("m05_distances", "embeddings", "vec_id", {"d": (lambda: N.round_double(J.distance(c("embedding"), F.reverse("embedding")), 6), "round(list_distance(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6)"), "p": (lambda: N.round_double(J.dot(c("embedding"), F.reverse("embedding")), 6), "round(list_dot_product(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6)"), "c": (lambda: N.round_double(J.cosine_similarity(c("embedding"), F.reverse("embedding")), 6), "round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6)")})
+E("k25_to_base", "part", "p_partkey", {"h": (lambda: S.to_base(c("p_partkey"), 16), "to_base(p_partkey, 16)"), "b": (lambda: S.to_base(c("p_size"), 2, 8), "to_base(p_size, 2, 8)"), "z": (lambda: S.to_base(c("p_partkey") * 12345, 36), "to_base(p_partkey * 12345, 36)")})
+E("k26_jaro_damerau", "part", "p_partkey", {"j": (lambda: N.round_double(P.jaro(c("p_name"), c("p_type")), 9), "round(jaro_similarity(p_name, p_type), 9)"), "w": (lambda: N.round_double(P.jaro_winkler(c("p_name"), F.lower("p_type")), 9), "round(jaro_winkler_similarity(p_name, lower(p_type)), 9)"), "v": (lambda: N.round_double(P.jaro_winkler(c("p_name"), F.reverse("p_name")), 9), "round(jaro_winkler_similarity(p_name, reverse(p_name)), 9)"), "d": (lambda: P.damerau_levenshtein(c("p_name"), F.reverse("p_name")), "damerau_levenshtein(p_name, reverse(p_name))"), "e": (lambda: P.damerau_levenshtein(c("p_name"), F.lower("p_type")), "damerau_levenshtein(p_name, lower(p_type))")})
+E("k27_unicode_paths", "part", "p_partkey", {"n": (lambda: P.nfc_normalize(F.concat("p_name", F.lit("e\u0301"))), "nfc_normalize(p_name || 'e\u0301')"), "g": (lambda: S.length_grapheme(F.concat("p_name", F.lit("e\u0301😀"))), "length_grapheme(p_name || 'e\u0301😀')"), "l": (lambda: S.left_grapheme(F.concat(F.lit("e\u0301"), c("p_name")), 3), "left_grapheme('e\u0301' || p_name, 3)"), "s": (lambda: F.octet_length(F.concat("p_name", F.lit("é"))).cast("bigint"), "strlen(p_name || 'é')"), "p": (lambda: F.array_join(S.parse_path(F.concat(F.lit("/x/"), c("p_name"), F.lit("/"), c("p_type"))), "|"), "array_to_string(parse_path('/x/' || p_name || '/' || p_type), '|')"), "d": (lambda: S.dir_name(F.concat(F.lit("x/y/"), c("p_name"))), "parse_dirname('x/y/' || p_name)"), "t": (lambda: S.dir_path(F.concat(F.lit("x/y/"), c("p_name"))), "parse_dirpath('x/y/' || p_name)")})
+E("l19_epochs_zones", "events", "event_id", {"u": (lambda: D.micros(c("ts")), "epoch_us(ts)"), "n": (lambda: D.micros(c("ts")) * 1000, "epoch_ns(ts)"), "t": (lambda: F.timestamp_seconds(c("event_id") * 1000).cast("timestamp_ntz"), "CAST(to_timestamp(event_id * 1000) AT TIME ZONE 'UTC' AS TIMESTAMP)"), "z": (lambda: F.convert_timezone(F.lit("America/New_York"), F.lit("UTC"), c("ts")), "timezone('UTC', timezone('America/New_York', ts))"), "k": (lambda: F.convert_timezone(F.lit("UTC"), F.lit("Asia/Kolkata"), c("ts")), "timezone('Asia/Kolkata', timezone('UTC', ts))")})
+_JSON = ["concat('{\"a\":', p_size - 20, ',\"b\":[', p_partkey, ',1.5,null],\"c\":{\"n\":\"', p_name, '\",\"x\":null}}')"] * 2
+E("m04_json_inspection", "part", "p_partkey", {
+    "t": (lambda: P.json_type(F.get_json_object(F.expr(_JSON[0]), "$.a")), f"json_type({_JSON[1]}, '$.a')"), "o": (lambda: P.json_type(F.expr(_JSON[0])), f"json_type({_JSON[1]})"),
+    "e": (lambda: J.json_exists(F.expr(_JSON[0]), "$.c.x"), f"json_exists({_JSON[1]}, '$.c.x')"), "m": (lambda: J.json_exists(F.expr(_JSON[0]), "$.c.y"), f"json_exists({_JSON[1]}, '$.c.y')"),
+    "i": (lambda: P.json_contains(F.expr(_JSON[0]), F.expr("concat('{\"b\":[', p_partkey, ']}')")), f"json_contains({_JSON[1]}, concat('{{\"b\":[', p_partkey, ']}}'))"), "j": (lambda: P.json_contains(F.expr(_JSON[0]), F.lit("7")), f"json_contains({_JSON[1]}, '7')"),
+    "p": (lambda: P.json_merge_patch(F.expr(_JSON[0]), F.lit('{"a":null,"c":{"x":2}}')), f"CAST(json_merge_patch({_JSON[1]}, '{{\"a\":null,\"c\":{{\"x\":2}}}}') AS VARCHAR)"),
+    "s": (lambda: P.json_structure(F.expr(_JSON[0])), f"CAST(json_structure({_JSON[1]}) AS VARCHAR)"), "y": (lambda: P.json_pretty(F.expr(_JSON[0])), f"CAST(json_pretty({_JSON[1]}) AS VARCHAR)"),
+    "f": (lambda: F.from_json(F.expr(_JSON[0]), "a int, c struct<n string>")["c"]["n"], f"json_transform({_JSON[1]}, '{{\"a\":\"INTEGER\",\"c\":{{\"n\":\"VARCHAR\"}}}}').c.n"),
+    "b": (lambda: F.to_json(F.struct(c("p_partkey").alias("k"), c("p_name").alias("v"))), "CAST(json_object('k', p_partkey, 'v', p_name) AS VARCHAR)"), "r": (lambda: F.to_json(F.array("p_name", "p_type")), "CAST(json_array(p_name, p_type) AS VARCHAR)"),
+})
+
+
+@Q.frame("m04_json_groups", "SELECT n_regionkey, CAST(json_group_array(n_name) AS VARCHAR) AS a, CAST(json_group_object(n_name, n_nationkey) AS VARCHAR) AS o FROM (SELECT * FROM nation ORDER BY n_name) GROUP BY n_regionkey")
+def json_groups(t):
+    return t.nation.groupBy("n_regionkey").agg(J.json_group_array(c("n_name"), c("n_name")).alias("a"), J.json_group_object(c("n_name"), c("n_nationkey")).alias("o"))
+
+
+@Q.frame("m07_map_extract", "SELECT n_nationkey, map_extract(map {n_name: CAST(n_regionkey AS VARCHAR)}, 'NATION_1')[1] AS v, CAST(len(map_extract(map {n_name: CAST(n_regionkey AS VARCHAR)}, 'NATION_1')) AS BIGINT) AS n FROM nation")
+def extracted(t):
+    found = J.map_extract(F.create_map(c("n_name"), c("n_regionkey").cast("string")), F.lit("NATION_1"))
+    return t.nation.select("n_nationkey", F.get(found, 0).alias("v"), F.size(found).cast("bigint").alias("n"))
+
+
+@Q.frame("m08_subscripts", "SELECT vec_id, generate_subscripts(embedding, 1) AS i FROM embeddings")
+def subscripts(t):
+    return t.embeddings.select("vec_id", F.explode(J.subscripts(c("embedding")).cast("array<bigint>")).alias("i"))
+
+
+@Q.frame("m08_list_zip", "SELECT vec_id, p.a AS a, p.b AS b FROM (SELECT vec_id, unnest(list_transform(list_zip(embedding, embedding[2:]), lambda z: {'a': z[1], 'b': z[2]})) AS p FROM embeddings)")
+def zipped(t):
+    return t.embeddings.select("vec_id", F.explode(F.arrays_zip(c("embedding").alias("a"), F.slice("embedding", 2, F.size("embedding")).alias("b"))).alias("p")).select("vec_id", c("p.a").alias("a"), c("p.b").alias("b"))
+
+
+@Q.frame("m09_json_tree", f"SELECT p_partkey, t.key AS k, CAST(t.value AS VARCHAR) AS v, t.type AS type, CAST(t.atom AS VARCHAR) AS atom, t.fullkey AS fullkey, t.path AS path FROM part, json_tree({_JSON[1]}) AS t")
+def tree(t):
+    e = t.part.select("p_partkey", F.explode(P.json_tree(F.expr(_JSON[0]))).alias("e"))
+    return e.select("p_partkey", c("e.key").alias("k"), c("e.value").alias("v"), "e.type", "e.atom", "e.fullkey", "e.path")
