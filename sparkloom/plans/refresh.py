@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import threading
+import uuid
 from collections.abc import Callable
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
@@ -131,6 +132,9 @@ class Change:
 
 _WIDER = {("TINYINT", "SMALLINT"), ("TINYINT", "INTEGER"), ("TINYINT", "BIGINT"), ("SMALLINT", "INTEGER"), ("SMALLINT", "BIGINT"), ("INTEGER", "BIGINT"), ("FLOAT", "DOUBLE"), ("INTEGER", "DOUBLE"), ("DATE", "TIMESTAMP")}
 
+#: Digits of the whole numbers, all of whose values such a decimal holds.
+_DIGITS = {"TINYINT": 3, "SMALLINT": 5, "INTEGER": 10, "BIGINT": 19}
+
 
 def schema_changes(declared: T.StructType, current: T.StructType, renames: dict[str, str] | None = None) -> list[Change]:
     """Steps from a table's schema to the declared one, with a risk: safe, lossy or destructive. renames: new to old."""
@@ -148,6 +152,8 @@ def schema_changes(declared: T.StructType, current: T.StructType, renames: dict[
             wide = (a, b) in _WIDER or b == "VARCHAR"
             if a.startswith("DECIMAL") and b.startswith("DECIMAL"):
                 wide = f.dataType.scale >= old.dataType.scale and f.dataType.precision - f.dataType.scale >= old.dataType.precision - old.dataType.scale
+            elif b.startswith("DECIMAL") and a in _DIGITS:
+                wide = f.dataType.precision - f.dataType.scale >= _DIGITS[a]
             out.append(Change("widen" if wide else "narrow", name, "safe" if wide else "lossy", f"{a} to {b}"))
         if old.nullable != f.nullable:
             out.append(Change("nullable" if f.nullable else "not null", name, "safe" if f.nullable else "lossy"))
@@ -175,14 +181,102 @@ def shape_hash(schema: T.StructType) -> str:
 
 #: Tracking tables, each a folder of Parquet files.
 TRACKING = {
-    "runs": "run_id string, started timestamp_ntz, ended timestamp_ntz, state string", "run_models": "run_id string, model string, state string, seconds double",
-    "versions": "model string, shape_hash string, at timestamp_ntz", "watermarks": "model string, column string, value string, at timestamp_ntz", "locks": "name string, owner string, at timestamp_ntz",
+    "layout": "version int, at timestamp_ntz",
+    "runs": "run_id string, started timestamp_ntz, ended timestamp_ntz, state string",
+    "run_models": "run_id string, position int, model string, state string, rows long, definition string, started timestamp_ntz, ended timestamp_ntz, inputs string",
+    "versions": "model string, shape_hash string, definition string, source string, at timestamp_ntz",
+    "watermarks": "model string, column string, value string, at timestamp_ntz",
+    "intervals": "run_id string, model string, first string, last string, shape_hash string",
+    "plans": "plan_id string, plan_hash string, plan_text string, at timestamp_ntz",
+    "plan_steps": "plan_id string, position int, model string, result string, rule string, risk string, detail string, state string, at timestamp_ntz",
+    "blocks": "plan_id string, model string, rule string, detail string, at timestamp_ntz, acknowledged_by string, reason string",
+    "members": "run_id string, position int, model string, selected boolean",
+    "documents": "subject string, document string, document_hash string, at timestamp_ntz",
+    "dependencies": "model string, depends_on string, depth int, at timestamp_ntz",
+    "locks": "name string, owner string, at timestamp_ntz",
 }
 
+#: Raised when a tracking table gets another shape.
+LAYOUT = 2
+
+
+def _now() -> dt.datetime:
+    return dt.datetime.now(dt.UTC).replace(tzinfo=None)
+
 
 def track(spark: SparkSession, folder: str, name: str, rows: list[tuple]) -> None:
+    """Appends; the first call says which layout the folder has, and a folder of another layout is refused."""
+    _check_layout(spark, folder)
+    if rows:
+        _append(spark, folder, name, rows)
+
+
+def _append(spark: SparkSession, folder: str, name: str, rows: list[tuple]) -> None:
     spark.createDataFrame(rows, TRACKING[name]).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
+def _check_layout(spark: SparkSession, folder: str) -> None:
+    if not _there(spark, f"{folder}/layout"):
+        return _append(spark, folder, "layout", [(LAYOUT, _now())])
+    found = {r.version for r in tracked(spark, folder, "layout").select("version").distinct().collect()}
+    if found != {LAYOUT}:
+        raise RuntimeError(f"{folder} has the tracking layout {sorted(found)}, not {LAYOUT}")
+
+
 def tracked(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.schema(TRACKING[name]).parquet(f"{folder}/{name}")
+    """Empty if nothing was recorded."""
+    path = f"{folder}/{name}"
+    return spark.read.schema(TRACKING[name]).parquet(path) if _there(spark, path) else spark.createDataFrame([], TRACKING[name])
+
+
+def recorded_refresh(spark: SparkSession, folder: str, models: list[Model], load: Callable[[Model], DataFrame | int | None], run_id: str | None = None, **options) -> dict[str, str]:
+    """refresh, and its run, members, states, times, row counts, shapes and dependencies in the tracking tables. load returns
+    the loaded table, a number of rows, or nothing. The run is recorded even if the last write of its loads failed."""
+    from .planner import definition_hash
+
+    run_id, started = run_id or uuid.uuid4().hex, _now()
+    graph, seen = Graph(models), {}
+
+    def timed(m: Model):
+        begun = _now()
+        seen[m.name] = (None, None, begun, begun)
+        try:
+            made = load(m)
+            seen[m.name] = (made.count(), shape_hash(made.schema), begun, _now()) if isinstance(made, DataFrame) else (made, None, begun, _now())
+        except BaseException:
+            seen[m.name] = (None, None, begun, _now())
+            raise
+
+    state = refresh(models, timed, **options)
+    at, order = _now(), graph.order()
+    nothing = (None, None, None, None)
+    track(spark, folder, "run_models", [(run_id, i, n, state[n], seen.get(n, nothing)[0], definition_hash(graph.models[n]), *seen.get(n, nothing)[2:], None) for i, n in enumerate(order) if n in state])
+    track(spark, folder, "versions", [(n, shape, definition_hash(graph.models[n]), "load", at) for n, (_, shape, *_) in seen.items() if shape and state[n] == "ok"])
+    track(spark, folder, "members", [(run_id, i, n, n in state) for i, n in enumerate(order)])
+    track(spark, folder, "dependencies", [(n, up, depth, at) for n in order for up, depth in graph.ancestors(n).items()])
+    track(spark, folder, "runs", [(run_id, started, at, "ok" if all(s == "ok" or s == "skipped: nothing to load" for s in state.values()) else "failed")])
+    return state
+
+
+def track_plan(spark: SparkSession, folder: str, plan_id: str, steps: list, states: list[str] | None = None) -> None:
+    """A plan's text, its steps with their states (planned if it was not applied), and what it was blocked by."""
+    at = _now()
+    text = "\n".join(f"{s.model}\t{s.result}\t{s.rule}\t{s.risk}\t{s.detail}" for s in steps)
+    track(spark, folder, "plans", [(plan_id, hashlib.sha256(text.encode()).hexdigest(), text, at)])
+    track(spark, folder, "plan_steps", [(plan_id, i, s.model, s.result, s.rule, s.risk, s.detail, state, at) for i, (s, state) in enumerate(zip(steps, states or ["planned"] * len(steps), strict=True))])
+    track(spark, folder, "blocks", [(plan_id, s.model, s.rule, s.detail, at, None, None) for s in steps if s.result == "block"])
+
+
+def last_recorded(spark: SparkSession, folder: str) -> dict:
+    """What the planner compares with: the last shape and definition of each model, found by one grouped pass."""
+    from pyspark.sql import functions as F
+
+    from .planner import Recorded
+
+    last = tracked(spark, folder, "versions").groupBy("model").agg(F.max_by(F.struct("shape_hash", "definition"), "at").alias("v"))
+    return {r.model: Recorded(r.v.shape_hash, r.v.definition or "") for r in last.collect()}

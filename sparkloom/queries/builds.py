@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import compare, graph, loads, models, refresh, runner
+from ..plans import compare, graph, loads, models, planner, refresh, runner
 from .. import session
 from ..session import Tables
 from ..streaming import windows
@@ -216,6 +216,53 @@ def schema_changes(t):
     return t.spark.createDataFrame([(x.action, x.column, x.risk) for x in refresh.schema_changes(want, have, {"b": "old"})], "action string, col string, risk string")
 
 
+def _mart() -> list[models.Model]:
+    c = models.Column
+    return [
+        models.Model("customer", "SELECT * FROM raw.customer", [c("c_custkey", "BIGINT"), c("c_name", "VARCHAR"), c("c_vip", "BOOLEAN")], ["c_custkey"], "full"),
+        models.Model("orders", "SELECT * FROM raw.orders", [c("o_orderkey", "DECIMAL(20,0)"), c("o_custkey", "BIGINT"), c("o_state", "VARCHAR"), c("o_totalprice", "DOUBLE")], ["o_orderkey"], "incremental_by_unique_key"),
+        models.Model("nation", "SELECT * FROM raw.nation", kind="full"),
+        models.Model("region", "SELECT * FROM raw.region", kind="full"),
+        models.Model("spent", "SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey", kind="view", reads=["orders"]),
+        models.Model("report", "SELECT * FROM customer JOIN spent ON o_custkey = c_custkey", kind="full", reads=["customer", "spent"]),
+    ]
+
+
+@Q.frame("p08_plan", """
+WITH c AS (SELECT column_name AS n FROM (DESCRIBE customer)), o AS (SELECT column_name AS n FROM (DESCRIBE orders)), fixed(model, result, rule, risk, detail) AS (VALUES
+  ('customer', 'question', 'history', 'safe', 'c_vip'), ('customer', 'ddl', 'add', 'safe', 'c_vip'), ('nation', 'question', 'adopt', 'safe', ''), ('region', 'block', 'not adopted', 'safe', ''),
+  ('orders', 'ddl', 'widen', 'safe', 'o_orderkey'), ('orders', 'ddl', 'rename', 'safe', 'o_state'), ('orders', 'load', 'routine', 'safe', ''), ('spent', 'ddl', 'create', 'safe', ''), ('report', 'skip', 'upstream', 'safe', 'customer'))
+SELECT * FROM fixed UNION ALL SELECT 'customer', 'ddl', 'drop', 'destructive', n FROM c WHERE n NOT IN ('c_custkey', 'c_name')
+UNION ALL SELECT 'orders', 'ddl', 'drop', 'destructive', n FROM o WHERE n NOT IN ('o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice')""")
+def planned(t):
+    """The tables' own schemas against models that declare other columns."""
+    live = {n: getattr(t, n).schema for n in ("customer", "orders", "nation", "region")}
+    recorded = {m.name: planner.Recorded(refresh.shape_hash(live[m.name]), planner.definition_hash(m)) for m in _mart() if m.name in ("customer", "orders")}
+    answers = planner.Answers(adopt={"region": False}, renames={"orders": {"o_state": "o_orderstatus"}})
+    steps = planner.plan(_mart(), live, recorded, answers)
+    return t.spark.createDataFrame([(s.model, s.result, s.rule, s.risk, s.detail) for s in steps], "model string, result string, rule string, risk string, detail string")
+
+
+@Q.frame("p10_recorded_run", """
+SELECT 'customer' AS model, 'ok' AS state, count(*) AS n_rows, 0 AS above FROM customer UNION ALL SELECT 'orders', 'ok', count(*), 0 FROM orders UNION ALL SELECT 'nation', 'ok', count(*), 0 FROM nation
+UNION ALL SELECT 'region', 'failed: no region', NULL, 0 UNION ALL SELECT 'spent', 'ok', count(DISTINCT o_custkey), 1 FROM orders
+UNION ALL SELECT 'report', 'ok', count(*), 3 FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)""")
+def recorded_run(t):
+    """A run over whole tables, read back from the tracking tables: states, rows loaded and models needed."""
+    folder = f"{shared_folder(t)}/tracking-{uuid.uuid4().hex}"
+    spent = t.orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"))
+
+    def load(m):
+        if m.name == "region":
+            raise RuntimeError("no region")
+        return spent if m.name == "spent" else t.customer.join(spent, F.col("o_custkey") == F.col("c_custkey")) if m.name == "report" else getattr(t, m.name)
+
+    refresh.recorded_refresh(t.spark, folder, _mart(), load)
+    above = refresh.tracked(t.spark, folder, "dependencies").groupBy("model").agg(F.count(F.lit(1)).cast("int").alias("above"))
+    ran = refresh.tracked(t.spark, folder, "run_models").join(above, "model", "left")
+    return ran.select("model", "state", F.col("rows").alias("n_rows"), F.coalesce("above", F.lit(0)).alias("above"))
+
+
 @Q.frame("q01_sample_run")
 def sample_run(t):
     run = runner.SampleRun(t.spark, project(), seed=3)

@@ -85,7 +85,12 @@ def value_conversion(t):
     return files.converted(t.customer, wanted)
 
 
-@Q.frame("a17_catalog_import")
+_DESCRIBED = " UNION ALL ".join(
+    f"SELECT '{n}' AS \"table\", CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name AS \"column\", column_type AS type, true AS nullable FROM (DESCRIBE {n})" for n in ("orders", "lineitem", "customer")
+)
+
+
+@Q.frame("a17_catalog_import", _DESCRIBED)
 def catalog_import(t):
     from ..sources import files
 

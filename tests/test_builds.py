@@ -246,3 +246,55 @@ def test_digest_diff_of_types_nulls_and_buckets(spark):
     got = sorted(((r["k"], r["status"], r["columns"]) for r in compare.digest_diff(left, right, ["k"]).collect()), key=str)
     assert got == sorted([(1, "differs", "s,u"), (3, "only_left", ""), (4, "only_right", ""), (None, "only_left", ""), (None, "only_right", "")], key=str)
     assert compare.bucket_diff(left.dropna(), left.dropna(), ["k"]).count() == 0
+
+
+def test_planner_decides_by_shape_definition_and_answers():
+    from pyspark.sql import types as T
+
+    from sparkloom.plans import planner
+
+    a = models.Model("a", "SELECT 1 AS k", [models.Column("k", "INTEGER"), models.Column("n", "VARCHAR")], ["k"], "incremental_by_unique_key")
+    b = models.Model("b", "SELECT * FROM a", kind="full", reads=["a"])
+    have = T.StructType([T.StructField("k", T.LongType()), T.StructField("old", T.StringType())])
+    was = planner.Recorded(refresh.shape_hash(have), planner.definition_hash(a))
+    rules = lambda **kw: [(s.model, s.result, s.rule, s.risk) for s in planner.plan([b, a], **kw)]
+    fresh = [("a", "ddl", "create", "safe"), ("a", "load", "routine", "safe"), ("b", "ddl", "create", "safe"), ("b", "load", "routine", "safe")]
+    assert rules(live={}, recorded={}) == fresh
+    assert rules(live={"a": have}, recorded={}) == [("a", "question", "adopt", "safe"), ("b", "skip", "upstream", "safe")]
+    drifted = {"a": planner.Recorded("another shape")}
+    assert rules(live={"a": have}, recorded=drifted)[0] == ("a", "block", "drift", "safe")
+    renamed = {"a": {"n": "old"}}
+    seen = planner.Answers(acknowledged={refresh.shape_hash(have)}, renames=renamed)
+    found = rules(live={"a": have}, recorded=drifted, answers=seen)
+    assert ("a", "track", "drift acknowledged", "safe") in found and ("a", "ddl", "narrow", "lossy") in found and ("a", "ddl", "rename", "safe") in found
+    assert ("a", "block", "rename", "safe") in rules(live={"a": have}, recorded={"a": was}, answers=planner.Answers(renames={"a": {"n": "none"}}))
+    other = {"a": planner.Recorded(was.shape, "another query")}
+    assert ("a", "block", "definition changed", "safe") in rules(live={"a": have}, recorded=other)
+    steps = planner.plan([a], {"a": have}, {"a": was}, planner.Answers(renames=renamed))
+    with pytest.raises(PermissionError):
+        planner.apply(steps, lambda s: None)
+    ran = []
+    states = planner.apply(steps, lambda s: ran.append(s.rule) or (1 / 0 if s.rule == "rename" else None), allow="lossy")
+    assert [x for _, x in states][-1] == "left out" and "routine" not in ran
+
+
+def test_runs_and_plans_are_recorded(spark, tmp_path):
+    from sparkloom.plans import planner
+
+    folder = f"file://{tmp_path}/tracking"
+    a, b = models.Model("a", "SELECT 1 AS k", kind="full"), models.Model("b", "SELECT 2", kind="full", reads=["a"])
+    load = lambda m: spark.range(3) if m.name == "a" else 1 / 0
+    state = refresh.recorded_refresh(spark, folder, [a, b], load, run_id="r1")
+    assert state["a"] == "ok" and state["b"].startswith("failed")
+    rows = {r.model: r for r in refresh.tracked(spark, folder, "run_models").collect()}
+    assert rows["a"].rows == 3 and rows["b"].rows is None and rows["b"].ended >= rows["b"].started
+    assert refresh.tracked(spark, folder, "runs").collect()[0].state == "failed"
+    was = refresh.last_recorded(spark, folder)
+    assert set(was) == {"a"} and was["a"].shape == refresh.shape_hash(spark.range(1).schema)
+    steps = planner.plan([a, b], {"a": spark.range(1).schema, "b": spark.range(1).schema}, was)
+    refresh.track_plan(spark, folder, "p1", steps)
+    assert [(r.model, r.rule) for r in refresh.tracked(spark, folder, "plan_steps").orderBy("position").collect()] == [("a", "routine"), ("b", "adopt")]
+    assert refresh.tracked(spark, folder, "blocks").count() == 0
+    spark.createDataFrame([(1, None)], refresh.TRACKING["layout"]).write.mode("overwrite").parquet(f"{folder}/layout")
+    with pytest.raises(RuntimeError, match="layout"):
+        refresh.track(spark, folder, "locks", [("x", "y", None)])
