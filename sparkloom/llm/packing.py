@@ -36,14 +36,25 @@ LONGEST_CACHED = 48
 
 _encoders: dict[str, Encoder] = {}
 
+#: Letters up to U+024F, all that this tokenizer takes for letters there.
+LETTERS = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: Runs of letters; runs without letters and apostrophes; from such a run's start to white space if an apostrophe follows.
+PIECES = re.compile(f"[{LETTERS}]+|[^{LETTERS} \t\n\r']++(?!')|[^ \t\n\r]+")
+#: Characters that normalisation may change otherwise than lower() does, or that lower() takes out of the range.
+ODD = re.compile("[^\x00-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u024f]")
+SPACES = re.compile("[ \t\n\r]+")
+#: What the names of this tokenizer's special tokens end with.
+SPECIAL = "oftext|>"
+
 
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
-    White space separates words for this tokenizer, so the ids of a text are those of its words in turn, and a word's
-    ids are kept once they are known. A word of letters alone, perhaps with a comma or full stop after it, is looked up
-    by its lower-case letters; such stems are encoded many at a time by a tokenizer without normalisation, and told
-    apart by the tokens that end a word. Only letters up to U+024F (but U+0130) are stems: they are normalised already.
+    White space separates words for this tokenizer, and so do the ends of runs of letters, but for the apostrophes of
+    contractions: from such an apostrophe's run to the next white space a word is one piece. So the ids of a text are those
+    of its pieces in turn, and a piece's ids are kept once they are known. Texts are lower-cased whole; a word with
+    an odd character or a special token's name stays as it is and is a piece of its own. Runs of letters are encoded many at a time
+    by a tokenizer without normalisation, and told apart by the tokens that end a word.
     """
 
     def __init__(self, path: str):
@@ -55,54 +66,54 @@ class Encoder:
         vocabulary = self.plain.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.odd = re.compile("[^\x00-\u012f\u0131-\u024f]")
         self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn_stems(self, stems: list[str], group: int = 200) -> None:
-        groups = [stems[i : i + group] for i in range(0, len(stems), group)]
+    def _learn(self, pieces: set[str], group: int = 200) -> None:
+        runs = [p for p in pieces if p.isalpha() and (p.isascii() or not ODD.search(p))]
+        groups = [runs[i : i + group] for i in range(0, len(runs), group)]
         for words, e in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype="<u4")
             cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
             if len(cuts) != len(words) + 1:
-                self.stems.update(zip(words, self._encode(words), strict=True))
+                self.known.update(zip(words, self._encode(words), strict=True))
                 continue
             data = ids.tobytes()
-            self.stems.update(zip(words, (data[lo:hi] for lo, hi in itertools.pairwise(cuts)), strict=True))
-
-    def _learn(self, words: list[str]) -> None:
-        stems, plain, rest = self.stems, [], []
-        for w in words:
-            mark = w[-1:] if w[-1:] in (",", ".") else ""
-            stem = w[: len(w) - len(mark)]
-            if stem.isalpha() and (stem.isascii() or not self.odd.search(stem)):
-                plain.append((w, stem.lower(), mark))
-            else:
-                rest.append(w)
-        self._learn_stems(list({s for _, s, _ in plain if s not in stems} | {m for _, _, m in plain if m and m not in stems}))
-        self.known.update((w, stems[s] + stems[m] if m else stems[s]) for w, s, m in plain)
+            self.known.update(zip(words, [data[lo:hi] for lo, hi in itertools.pairwise(cuts)], strict=True))
+        rest = list(pieces.difference(runs))
         self.known.update(zip(rest, self._encode(rest), strict=True))
 
     def forget(self) -> None:
         """A worker lives on after its task; what it knew of words need not."""
-        self.known, self.stems = {}, {}
+        self.known = {}
+
+    @staticmethod
+    def pieces(text: str) -> list[str]:
+        low = text.lower()
+        if SPECIAL not in low and (text.isascii() or not ODD.search(text)):
+            return PIECES.findall(low)
+        out = []
+        for word in SPACES.split(text):
+            low = word.lower()
+            if SPECIAL in low or ODD.search(word):
+                out.append(word)
+            else:
+                out += PIECES.findall(low)
+        return out
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        split = [self.pieces(t) for t in texts]
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        if len(self.stems) > CACHE_WORDS:
-            self.stems.clear()
-        fresh = [w for w in set(itertools.chain.from_iterable(split)) if w not in known]
+        fresh = set().union(*split).difference(known)
         self._learn(fresh)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in fresh:
-            if len(w) > LONGEST_CACHED:
-                del known[w]
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        for p in fresh:
+            if len(p) > LONGEST_CACHED:
+                del known[p]
         return out
 
 

@@ -702,3 +702,15 @@ def test_classes_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1002), (1001, 1002)], "a long, b long")
     got = {r["id"]: r["label"] for r in near_dups.components(links).collect()}
     assert all(got[i] == 0 for i in range(301)) and got[1002] == got[1001] == 1000
+
+
+def test_encoder_ids_are_those_of_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, enc, rng = Tokenizer.from_file(path), packing.Encoder(path), random.Random(11)
+    parts = [*"aZstdmlrev'''\"-.,;12²½ \n\t\xa0\x85\x0b\x1cªºµßÀÖÿĀİıſȺȾɏΣσςé́Жж中😀‍&<|>", "'s", "'ll", "don't", "''s", "<|endoftext|>", "<|STARTOFTEXT|>", "Word", "word,"]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert enc.batch([text])[0] == np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(text)
