@@ -46,10 +46,19 @@ def stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigg
 
 
 def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that is there now, into an in-memory table for looks and tests."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """All that is there now, as a table of files beside the checkpoint, also a view of that name; no rows reach the driver.
+    A batch that runs again replaces its own files, and a later run from the checkpoint adds to those of earlier ones."""
+    spark, out = df.sparkSession, f"{checkpoint.rstrip('/')}-rows"
+    spark.createDataFrame([], df.schema).write.mode("ignore").parquet(f"{out}/none")  # to be read where no batch runs
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/{'all' if mode == 'complete' else batch}")
+
+    q = df.writeStream.foreachBatch(put).queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    made = spark.read.schema(df.schema).parquet(f"{out}/*")
+    made.createOrReplaceTempView(name)
+    return made
 
 
 def load_each_batch(df: DataFrame, checkpoint: str, load: Callable[[DataFrame, int], None]) -> None:

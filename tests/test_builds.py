@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from sparkloom.operators import joins, recursive, shapes
 from sparkloom.plans import compare, graph, loads, models, refresh, runner, types
 from sparkloom.plans.models import Column, Model
+from sparkloom.streaming import windows
 
 EVENTS = "event_id long, event_ts timestamp_ntz, amount decimal(14,2), label string"
 
@@ -298,3 +299,30 @@ def test_runs_and_plans_are_recorded(spark, tmp_path):
     spark.createDataFrame([(1, None)], refresh.TRACKING["layout"]).write.mode("overwrite").parquet(f"{folder}/layout")
     with pytest.raises(RuntimeError, match="layout"):
         refresh.track(spark, folder, "locks", [("x", "y", None)])
+
+
+def test_stream_to_files(spark, tmp_path):
+    """Rows of a stream go to files, not to the driver; a later run from the checkpoint adds what is new."""
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    put = lambda *keys: spark.createDataFrame([(k, at(1)) for k in keys], "k long, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(source)
+    run = lambda: windows.run_to_end(windows.deduplicated(windows.stream(spark, source, spark.read.parquet(source).schema), "ts", ["k"]).select("k"), "loom_files", state)
+    put(1, 1, 2, None)
+    first = run()
+    assert first.inputFiles()
+    assert sorted(map(str, (r[0] for r in first.collect()))) == ["1", "2", "None"]
+    put(2, 3)
+    assert sorted(map(str, (r[0] for r in run().collect()))) == ["1", "2", "3", "None"]
+    assert spark.table("loom_files").count() == 4
+
+
+def test_stream_to_files_complete(spark, tmp_path):
+    """In complete mode the last batch is the table; where no file is, an empty one."""
+    source = str(tmp_path / "in")
+    (tmp_path / "in").mkdir()
+    run = lambda: windows.run_to_end(windows.stream(spark, source, T.StructType().add("k", "long")).groupBy("k").count(), "loom_complete", str(tmp_path / "state"), mode="complete")
+    assert run().collect() == []
+    for k in (1, 1, 2):
+        spark.createDataFrame([(k,)], "k long").coalesce(1).write.mode("append").parquet(source)
+    made = run()
+    assert made.inputFiles()
+    assert sorted(map(tuple, made.collect())) == [(1, 2), (2, 1)]
