@@ -92,6 +92,17 @@ def string_agg(x: str, separator: str = ",", order: str | None = None) -> Column
     return F.expr(f"listagg({x}, '{separator}') within group (order by {order or x})")
 
 
+def arg_min(x: Column, by: Column, at: Column) -> Column:
+    """x of the row with the least by, without rows where either is NULL; of equal rows the one with the least at."""
+    return F.min_by(x, F.when(x.isNotNull() & by.isNotNull(), F.struct(by, at)))
+
+
+def arg_max(x: Column, by: Column, at: Column) -> Column:
+    """x of the row with the greatest by, a double (NaN is the greatest); rows that are NULL or equal as in arg_min."""
+    by = by.cast("double")
+    return F.min_by(x, F.when(x.isNotNull() & by.isNotNull(), F.struct(~F.isnan(by), -by, at)))
+
+
 def exact_sum(x: Column) -> Column:
     """Of doubles below 1e37: whole parts are summed as decimals, so that only the fractions round."""
     x = x.cast("double")

@@ -80,7 +80,14 @@ Q.both("e21_regression", f"SELECT c_mktsegment, CAST(regr_count(c_acctbal, c_nat
 Q.both("e21_regression_sums", "SELECT c_mktsegment, round(regr_sxy(c_acctbal, c_nationkey), 3) AS sxy, round(regr_syy(c_acctbal, c_nationkey) / 1000, 3) AS syy FROM customer GROUP BY c_mktsegment")
 Q.both("e22_bits", "SELECT p_type, bit_and(p_size) AS a, bit_or(p_size) AS o, bit_xor(p_size) AS x FROM part GROUP BY p_type")
 Q.sql("e23_approx_distinct", "SELECT event_type, abs(approx_count_distinct(user_id, 0.02) / count(DISTINCT user_id) - 1) < 0.1 AS near, count(DISTINCT user_id) AS n FROM events GROUP BY event_type", "SELECT event_type, true AS near, count(DISTINCT user_id) AS n FROM events GROUP BY event_type")
-Q.sql("e24_arg_max", "SELECT c_mktsegment, max_by(c_custkey, c_acctbal) AS rich, min_by(c_custkey, c_acctbal) AS poor FROM customer GROUP BY c_mktsegment", "SELECT c_mktsegment, arg_max(c_custkey, c_acctbal) AS rich, arg_min(c_custkey, c_acctbal) AS poor FROM customer GROUP BY c_mktsegment")
+
+
+@Q.frame("e24_arg_max", "SELECT c_mktsegment, arg_max(c_custkey, c_acctbal) AS rich, arg_min(c_custkey, c_acctbal) AS poor FROM customer GROUP BY c_mktsegment")
+def arg_max(t):
+    """Of equal balances the first row in the order of the files."""
+    rows = t.customer.select("c_mktsegment", "c_custkey", "c_acctbal", F.struct("_metadata.file_path", "_metadata.row_index").alias("at"))
+    args = F.col("c_custkey"), F.col("c_acctbal"), F.col("at")
+    return rows.groupBy("c_mktsegment").agg(A.arg_max(*args).alias("rich"), A.arg_min(*args).alias("poor"))
 
 
 @Q.frame("e25_list", "SELECT j, array_to_string(list(coalesce(CAST(i AS VARCHAR), '-') ORDER BY id), ',') AS items, CAST(len(list(i)) AS BIGINT) AS n FROM probe GROUP BY j")
