@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..functions import nested
-from ..functions.numeric import round_double
+from ..functions.numeric import double_to_decimal, double_to_int, round_double
 from ..operators import recursive, shapes
 from .registry import Registry, probe
 
@@ -166,7 +166,18 @@ Q.both("f03_lag_lead", f"SELECT o_orderkey, lag(o_totalprice) {_W} AS a, lead(o_
 Q.both("f04_values", "SELECT o_orderkey, first_value(o_totalprice) OVER w AS a, last_value(o_totalprice) OVER w AS b, nth_value(o_totalprice, 2) OVER w AS c FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 Q.both("f05_aggregates", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey) AS DECIMAL(38,2)) AS s, max(o_totalprice) OVER () AS m FROM orders")
 Q.both("f06_null_order", "SELECT id, CAST(row_number() OVER (ORDER BY i NULLS LAST, id) AS BIGINT) AS a, CAST(row_number() OVER (ORDER BY i DESC NULLS LAST, id) AS BIGINT) AS b, CAST(row_number() OVER (ORDER BY i NULLS FIRST, id) AS BIGINT) AS c FROM probe")
-Q.both("f07_frames", "SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS DECIMAL(38,2)) AS r, count(*) OVER (PARTITION BY o_custkey ORDER BY CAST(o_totalprice AS BIGINT) RANGE BETWEEN 50000 PRECEDING AND 50000 FOLLOWING) AS g, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS d FROM orders")
+
+
+@Q.frame("f07_frames", "SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS DECIMAL(38,2)) AS r, count(*) OVER (PARTITION BY o_custkey ORDER BY CAST(o_totalprice AS BIGINT) RANGE BETWEEN 50000 PRECEDING AND 50000 FOLLOWING) AS g, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS d FROM orders")
+def frames(t):
+    """Doubles are rounded, not cut, when they become integers; NULLs come last."""
+    key = Window.partitionBy("o_custkey")
+    day = key.orderBy(F.col("o_orderdate").asc_nulls_last())
+    dated = key.orderBy(F.col("o_orderdate").asc_nulls_last(), F.col("o_orderkey").asc_nulls_last())
+    priced = key.orderBy(double_to_int(F.col("o_totalprice"), "bigint").asc_nulls_last())
+    rows = F.sum(double_to_decimal(F.col("o_totalprice"), 18, 2)).over(dated.rowsBetween(-2, 0)).cast("decimal(38,2)")
+    n = F.count(F.lit(1))
+    return t.orders.select("o_orderkey", rows.alias("r"), n.over(priced.rangeBetween(-50000, 50000)).alias("g"), n.over(day).alias("d"))
 
 
 @Q.frame("f08_groups_frame", "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM part")

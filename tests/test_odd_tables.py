@@ -26,3 +26,23 @@ def test_arg_max(spark, tmp_path):
         (7, 'inf', 'nan'), (8, 'nan', 'nan'), (6, 'nan', 'nan'), (2, NULL, 'nan'), (14, 0.0, 'zero'), (13, -0.0, 'zero'), (15, 0.0, 'zero'),
         (1, NULL, 'none'), (NULL, 2, 'none'), (21, 3, NULL), (20, 3, NULL)"""
     check(spark, tmp_path, "e24_arg_max", customer=("c_custkey, c_acctbal, c_mktsegment", values))
+
+
+#: Halves and tenths about the frame's 50,000, NULLs in each column, and prices whose third digit is a five.
+ORDERS = """
+    (CAST(1 AS BIGINT), CAST(5 AS BIGINT), 'F', CAST(10.5 AS DOUBLE), TIMESTAMP '1995-01-01', 'x'), (2, 5, 'F', 10.5, TIMESTAMP '1995-01-01', 'x'), (NULL, 5, 'F', 10.5, TIMESTAMP '1995-01-02', 'x'),
+    (NULL, 5, 'F', 99999.5, NULL, 'x'), (3, 5, 'F', 99999.5, TIMESTAMP '1995-01-03', 'x'), (4, 6, 'F', NULL, NULL, 'x'), (5, 6, 'F', NULL, TIMESTAMP '1995-01-03', 'x'),
+    (6, 6, 'F', 50010.5, TIMESTAMP '1995-01-03', 'x'), (7, 6, 'F', 10.4, TIMESTAMP '1995-01-03', 'x'), (8, NULL, 'F', 1.5, TIMESTAMP '1995-01-03', 'x'), (9, NULL, 'F', 50001.6, TIMESTAMP '1995-01-04', 'x'),
+    (10, 7, 'F', -0.5, TIMESTAMP '1995-01-04', 'x'), (11, 7, 'F', -50000.6, TIMESTAMP '1995-01-04', 'x'), (12, 7, 'F', 2.675, NULL, 'x'), (13, 7, 'F', 1.005, TIMESTAMP '1995-01-04', 'x'),
+    (14, 7, 'F', 1e6, NULL, 'x'), (NULL, 8, 'F', 3.0, NULL, 'x'), (15, 8, 'F', 3.0, NULL, 'x')"""
+COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
+
+
+def test_frames(spark, tmp_path):
+    check(spark, tmp_path, "f07_frames", orders=(COLUMNS, ORDERS))
+
+
+def test_frames_round(spark, tmp_path):
+    """Between 0.6 and 50000.6 lie 50,000 in whole numbers, between 0.4 and 50000.6 more."""
+    values = "(CAST(1 AS BIGINT), CAST(1 AS BIGINT), 'F', CAST(0.6 AS DOUBLE), TIMESTAMP '1995-01-01', 'x'), (2, 1, 'F', 50000.6, TIMESTAMP '1995-01-02', 'x'), (3, 2, 'F', 0.4, TIMESTAMP '1995-01-01', 'x'), (4, 2, 'F', 50000.6, TIMESTAMP '1995-01-02', 'x')"
+    check(spark, tmp_path, "f07_frames", orders=(COLUMNS, values))
