@@ -225,7 +225,16 @@ def salted_join(t):
 Q.both("d01_scalar", "SELECT o_orderkey FROM orders WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders)")
 Q.both("d02_exists", "SELECT count(*) AS n FROM region WHERE EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 499000)")
 Q.both("d03_correlated_count", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS n, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS top FROM customer")
-Q.both("d04_correlated_limit", "SELECT c_custkey, (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS best FROM customer")
+
+
+@Q.frame("d04_correlated_limit", "SELECT c_custkey, (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS best FROM customer")
+def correlated_limit(t):
+    """Spark's own plan for such a subquery sorts the table and then deals it by key, which loses the order; a ranked
+    window keeps it."""
+    best = shapes.distinct_on(t.orders, ["o_custkey"], ["-o_totalprice", "o_orderkey"]).select("o_custkey", F.col("o_orderkey").alias("best"))
+    return t.customer.join(best, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "best")
+
+
 Q.both("d05_correlated_in", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > s_acctbal + 9000)")
 
 

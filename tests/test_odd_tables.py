@@ -1,5 +1,7 @@
 """Registered queries against their DuckDB SQL on small tables with ties, NULLs, NaN and halves."""
 
+import re
+
 import duckdb
 
 from sparkloom import queries
@@ -46,3 +48,19 @@ def test_frames_round(spark, tmp_path):
     """Between 0.6 and 50000.6 lie 50,000 in whole numbers, between 0.4 and 50000.6 more."""
     values = "(CAST(1 AS BIGINT), CAST(1 AS BIGINT), 'F', CAST(0.6 AS DOUBLE), TIMESTAMP '1995-01-01', 'x'), (2, 1, 'F', 50000.6, TIMESTAMP '1995-01-02', 'x'), (3, 2, 'F', 0.4, TIMESTAMP '1995-01-01', 'x'), (4, 2, 'F', 50000.6, TIMESTAMP '1995-01-02', 'x')"
     check(spark, tmp_path, "f07_frames", orders=(COLUMNS, values))
+
+
+def test_correlated_limit(spark, tmp_path):
+    """NULL keys and prices come last, NaN is the greatest price, zeros are equal, a customer may have no orders."""
+    orders = """
+        (CAST(1 AS BIGINT), CAST(1 AS BIGINT), CAST(0.0 AS DOUBLE)), (0, 1, -0.0), (14, 2, -0.0), (13, 2, 0.0), (3, 3, 'nan'), (2, 3, 'nan'), (1, 3, 'inf'), (5, 4, NULL), (4, 4, NULL), (NULL, 4, NULL), (9, 4, -1),
+        (6, 5, NULL), (NULL, 5, NULL), (NULL, 6, 2), (7, 6, 2), (8, NULL, 2), (NULL, 7, 2), (1, 7, 1)"""
+    customers = "(CAST(1 AS BIGINT)), (2), (3), (3), (4), (5), (6), (7), (8), (NULL), (NULL)"
+    check(spark, tmp_path, "d04_correlated_limit", orders=("o_orderkey, o_custkey, o_totalprice", orders), customer=("c_custkey", customers))
+
+
+def test_correlated_limit_keeps_order(spark, tmp_path):
+    """The window that ranks a customer's orders has their order itself, whatever a shuffle does to sorted rows."""
+    test_correlated_limit(spark, tmp_path)
+    plan = queries.QUERIES["d04_correlated_limit"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"row_number\(\) windowspecdefinition\(o_custkey#\w+, o_totalprice#\d+ DESC NULLS LAST, o_orderkey#\w+ ASC NULLS LAST", plan)
